@@ -130,12 +130,13 @@ def chunk_runs(gap: int):
 
 def with_visitors(events: DataFrame) -> DataFrame:
     """(id, us, event_type, visitor_id) of each id once: of rows with one id the first by (time, type, visitor) counts. A
-    paper_click without visitor gets that of the search it names; events then without visitor, id or time are left out."""
+    paper_click without visitor gets that of the search it names (the least, if rows of that search differ); events then without visitor, id or time are left out."""
     lean = events.filter("id is not null and occurred_at is not null").select(F.col("id").cast("bigint").alias("id"), F.struct(micros("occurred_at").alias("us"), "event_type", "visitor_id", F.col("related_search_event_id").cast("bigint").alias("search_id")).alias("e"))
     once = lean.groupBy("id").agg(F.min("e").alias("e")).select("id", "e.*")
     known = once.filter("visitor_id is not null").select("id", "us", "event_type", "visitor_id")
     orphans = once.filter("visitor_id is null and event_type = 'paper_click' and search_id is not null").select("id", "us", "event_type", "search_id")
-    searches = once.filter("event_type = 'search' and visitor_id is not null").select(F.col("id").alias("search_id"), "visitor_id")
+    # only what the lookup needs is shuffled: the ids and visitors of searches
+    searches = events.filter("event_type = 'search' and visitor_id is not null and id is not null and occurred_at is not null").select(F.col("id").cast("bigint").alias("search_id"), "visitor_id").groupBy("search_id").agg(F.min("visitor_id").alias("visitor_id"))
     return known.unionByName(orphans.join(searches, "search_id").drop("search_id"))
 
 
