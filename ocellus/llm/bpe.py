@@ -252,21 +252,21 @@ def blocks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def encode_column(df: DataFrame, key: str, text: str, vocabulary: str | None = None, mode: str = "ids") -> DataFrame:
+def encode_column(df: DataFrame, key: str | list[str], text: str, vocabulary: str | None = None, mode: str = "ids") -> DataFrame:
     """mode "ids": (key, ids); "offsets": (key, ids, starts), starts being the byte of the text at which each token begins; "count":
     (key, n_tokens). Null, empty: no ids, an empty list or 0. One row for each row, whatever the key holds; further columns are
     ignored. The vocabulary's file, about 1 MB whatever the data, is read on the driver and broadcast."""
     spark = df.sparkSession
     with open(vocabulary or default_vocabulary(), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    kind = df.select(key).schema[0].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else key
     names = {"ids": ["ids"], "offsets": ["ids", "starts"], "count": ["n_tokens"]}[mode]
-    schema = f"`{key}` {kind}, " + ", ".join(f"{n} {'bigint' if mode == 'count' else 'array<int>'}" for n in names)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema] + [f"{n} {'bigint' if mode == 'count' else 'array<int>'}" for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(keys)).to_pylist()
             for a, b in blocks(texts, 1_000_000):
                 got = encoder.encode(texts[a:b], offsets=mode == "offsets")
                 if mode == "count":
@@ -274,6 +274,6 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str | None = N
                 else:
                     bounds = pa.array(np.r_[0, np.cumsum(got[1])].astype(np.int32))
                     columns = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (got[0], *got[2:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=[key, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keys))), *columns], names=[*keys, *names])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(*keys, text).mapInArrow(run, schema)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ocellus.llm.bpe import encode_column
 from ocellus.llm.distinct import bucket_counts, distinct_visitors, pairs
 from ocellus.llm.frequent import frequent_values
 from ocellus.llm.leximin import leximin
+from ocellus.llm.mixing import mixture, shares
+from ocellus.llm.neighbours import similar_pairs
 from ocellus.llm.sql import SQL  # noqa: F401
 from ocellus.sources.tables import table
 
@@ -22,6 +25,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_frequent(spark, folder).filter(F.col("query_normalized").rlike(r"(?U)\S")).select("query_normalized")
 
 
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "paper_embeddings"), least=0.9)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pairs(spark, folder).select("paper_id_a", "paper_id_b")
+
+
 def p6_distinct_visitors(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_visitors(table(spark, folder, "analytics_events"))
 
@@ -38,11 +49,33 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leximin(table(spark, folder, "paper_briefs")).filter("rank <= 3").select("search_event_id", "id")
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_column(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_column(table(spark, folder, "documents"), "doc_id", "text", mode="offsets")
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_frequent": p2_frequent,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
     "p6_distinct_visitors": p6_distinct_visitors,
     "p6_partials": p6_partials,
     "p7_found": p7_found,
     "p7_ranking": p7_ranking,
+    "p8_ids": p8_ids,
+    "p8_offsets": p8_offsets,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
