@@ -129,14 +129,13 @@ def chunk_runs(gap: int):
 
 
 def with_visitors(events: DataFrame) -> DataFrame:
-    """(id, us, event_type, visitor_id) of each id once: of rows with one id the first by (time, type, visitor) counts. A
-    paper_click without visitor gets that of the search it names (the least, if rows of that search differ); events then without visitor, id or time are left out."""
-    lean = events.filter("id is not null and occurred_at is not null").select(F.col("id").cast("bigint").alias("id"), F.struct(micros("occurred_at").alias("us"), "event_type", "visitor_id", F.col("related_search_event_id").cast("bigint").alias("search_id")).alias("e"))
-    once = lean.groupBy("id").agg(F.min("e").alias("e")).select("id", "e.*")
-    known = once.filter("visitor_id is not null").select("id", "us", "event_type", "visitor_id")
-    orphans = once.filter("visitor_id is null and event_type = 'paper_click' and search_id is not null").select("id", "us", "event_type", "search_id")
-    # only what the lookup needs is shuffled: the ids and visitors of searches
-    searches = events.filter("event_type = 'search' and visitor_id is not null and id is not null and occurred_at is not null").select(F.col("id").cast("bigint").alias("search_id"), "visitor_id").groupBy("search_id").agg(F.min("visitor_id").alias("visitor_id"))
+    """(id, us, event_type, visitor_id) as stored. A paper_click without visitor gets that of the search it names (the least, if
+    rows of that search differ); events then without visitor, id or time are left out."""
+    timed = events.filter("id is not null and occurred_at is not null")
+    row = [F.col("id").cast("bigint").alias("id"), micros("occurred_at").alias("us"), "event_type"]
+    known = timed.filter("visitor_id is not null").select(*row, "visitor_id")
+    orphans = timed.filter("visitor_id is null and event_type = 'paper_click' and related_search_event_id is not null").select(*row, F.col("related_search_event_id").cast("bigint").alias("search_id"))
+    searches = timed.filter("event_type = 'search' and visitor_id is not null").select(F.col("id").cast("bigint").alias("search_id"), "visitor_id").groupBy("search_id").agg(F.min("visitor_id").alias("visitor_id"))
     return known.unionByName(orphans.join(searches, "search_id").drop("search_id"))
 
 
@@ -144,7 +143,7 @@ def sessions(events: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 86
     """Sessions of each visitor_id: (visitor_id, session_no, start_at, end_at, duration_s, first_event_id, last_event_id,
     n_events, n_page_view, n_search, n_paper_click).
 
-    Events are taken as with_visitors() says and ordered by (occurred_at, id); a pause of more than gap_seconds starts a
+    Events are taken as with_visitors() says, redelivered ones (equal in id, time, type and visitor) once, and ordered by (occurred_at, id); a pause of more than gap_seconds starts a
     new session. Events at the same time count in the order of their ids; other event types count in n_events alone; an empty visitor_id is a
     visitor like any other; no events give no sessions; further columns are ignored."""
     if gap_seconds < 1 or chunk_seconds < 1:
@@ -153,8 +152,9 @@ def sessions(events: DataFrame, gap_seconds: int = 1800, chunk_seconds: int = 86
     second = F.floor(F.col("us") / 1_000_000).cast("bigint")
     point = F.struct("us", "id")
     kinds = [F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in ("page_view", "search", "paper_click")]
-    # one row per visitor and second: this shuffle spreads a busy visitor over all tasks
-    ticks = owned.withColumn("second", second).groupBy("visitor_id", "second").agg(F.min(point).alias("low"), F.max(point).alias("high"), F.count(F.lit(1)).alias("n_events"), *kinds)
+    # the one shuffle of single events; it spreads a busy visitor over all tasks, and both aggregations keep to it
+    once = owned.withColumn("second", second).repartition("visitor_id", "second").dropDuplicates(["visitor_id", "second", "us", "id", "event_type"])
+    ticks = once.groupBy("visitor_id", "second").agg(F.min(point).alias("low"), F.max(point).alias("high"), F.count(F.lit(1)).alias("n_events"), *kinds)
     chunked = ticks.select("visitor_id", F.floor(F.col("second") / chunk_seconds).cast("bigint").alias("chunk"), F.pmod("second", F.lit(chunk_seconds)).cast("bigint").alias("tick"), F.col("low.us").alias("low_us"), F.col("low.id").alias("low_id"), F.col("high.us").alias("high_us"), F.col("high.id").alias("high_id"), *FIELDS[7:])
     runs = chunked.repartition("visitor_id", "chunk").sortWithinPartitions("visitor_id", "chunk", "tick").mapInArrow(chunk_runs(gap_seconds), RUNS)
     order = Window.partitionBy("visitor_id").orderBy("start_us")
