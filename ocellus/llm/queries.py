@@ -10,6 +10,7 @@ from ocellus.llm.distinct import bucket_counts, distinct_visitors, pairs
 from ocellus.llm.frequent import frequent_values
 from ocellus.llm.leximin import leximin
 from ocellus.llm.mixing import mixture, shares
+from ocellus.llm.mojibake import find_garbled
 from ocellus.llm.neighbours import similar_pairs
 from ocellus.llm.sql import SQL  # noqa: F401
 from ocellus.sources.tables import table
@@ -65,6 +66,14 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return find_garbled(table(spark, folder, "documents")).filter("garbled").drop("garbled")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_garbled(table(spark, folder, "documents")).filter("garbled").select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_frequent": p2_frequent,
@@ -78,4 +87,6 @@ QUERIES = {
     "p8_offsets": p8_offsets,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
 }
