@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ocellus.llm.bpe import encode_column
 from ocellus.llm.distinct import bucket_counts, distinct_visitors, pairs
 from ocellus.llm.frequent import frequent_values
+from ocellus.llm.language import affected, text_languages, text_segments
 from ocellus.llm.leximin import leximin
 from ocellus.llm.mixing import mixture, shares
 from ocellus.llm.mojibake import find_garbled
@@ -34,6 +35,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pairs(spark, folder).select("paper_id_a", "paper_id_b")
 
 
+def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, record_id, text, label) of every text that came with a label row, and of every document."""
+    labels = table(spark, folder, "text_labels").select("field", "record_id", F.col("lang_label").alias("label"))
+    papers = table(spark, folder, "papers").select(F.col("paper_id").cast("bigint").alias("record_id"), F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("abstract").alias("field"), F.col("abstract_text").alias("text")))).alias("x"))
+    titled = papers.select("x.field", "record_id", "x.text").join(labels, ["field", "record_id"]).select("field", "record_id", "text", "label")
+    searches = table(spark, folder, "analytics_events").filter("event_type = 'search'").select(F.col("id").cast("bigint").alias("record_id"), F.col("query_raw").alias("text"))
+    asked = searches.join(labels.filter("field = 'query'"), "record_id").groupBy("field", "record_id", "label").agg(F.max("text").alias("text")).select("field", "record_id", "text", "label")
+    documents = table(spark, folder, "documents").select(F.lit("document").alias("field"), F.col("doc_id").cast("bigint").alias("record_id"), "text", F.col("lang").alias("label"))
+    return titled.unionByName(asked).unionByName(documents)
+
+
+def p5_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return text_languages(labelled_texts(spark, folder))
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return text_segments(labelled_texts(spark, folder))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return affected(p5_languages(spark, folder))
+
+
 def p6_distinct_visitors(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_visitors(table(spark, folder, "analytics_events"))
 
@@ -79,6 +103,9 @@ QUERIES = {
     "p2_frequent": p2_frequent,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
+    "p5_segments": p5_segments,
     "p6_distinct_visitors": p6_distinct_visitors,
     "p6_partials": p6_partials,
     "p7_found": p7_found,
