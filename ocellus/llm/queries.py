@@ -12,6 +12,7 @@ from ocellus.llm.language import affected, text_languages, text_segments
 from ocellus.llm.leximin import leximin
 from ocellus.llm.mixing import mixture, shares
 from ocellus.llm.mojibake import find_garbled
+from ocellus.llm.names import resolve, variant_pairs
 from ocellus.llm.neighbours import similar_pairs
 from ocellus.llm.sql import SQL  # noqa: F401
 from ocellus.sources.tables import table
@@ -19,6 +20,14 @@ from ocellus.sources.tables import table
 SUPPORT = "0.006"
 
 
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve(table(spark, folder, "papers"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(p1_entities(spark, folder))
+
+
 def p2_frequent(spark: SparkSession, folder: str) -> DataFrame:
     return frequent_values(table(spark, folder, "analytics_events"), "query_normalized", SUPPORT)
 
@@ -99,6 +108,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_frequent": p2_frequent,
     "p4_found": p4_found,
