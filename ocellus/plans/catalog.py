@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ocellus.plans import session_queries
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {**session_queries.QUERIES}
-SQL = {**session_queries.SQL}
+from ocellus.plans import search_queries, session_queries, usage_queries
 
+QUERIES = {**usage_queries.QUERIES, **search_queries.QUERIES, **session_queries.QUERIES}
+SQL = {**usage_queries.SQL, **search_queries.SQL, **session_queries.SQL}
 
-def flagship(spark, folder):
-    return session_queries.p3_sessions(spark, folder)
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return search_queries.q_rank_fusion_best_match(spark, folder)
