@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ocellus.storage import cut_lineage
@@ -278,52 +278,58 @@ def resolve(df: DataFrame, column: str = "authors_display", rounds: int = 12) ->
 
     numbered = names.select("name", F.xxhash64("name").alias("id"))
     described = cut_lineage(numbered.mapInArrow(describe, "id bigint, weak boolean, han string, middle string, features array<struct<type:string,key:string,token:string,strong:boolean,spelling:string>>"))
-    flat = cut_lineage(described.select("id", "weak", "han", "middle", F.explode("features").alias("f")).select("id", "weak", "han", "middle", "f.*"))
-    entity = numbered.select("id", F.col("id").alias("e"))
+    flat = described.select("id", F.explode("features").alias("f")).select("id", "f.*")
+    close = cut_lineage(near_pairs(flat))
+    keyed = cut_lineage(flat.filter("type <> 'typo'").groupBy("id", "type", "key").agg(F.max("strong").alias("strong")))
+    profiles = described.select("id", "weak", F.nullif("han", F.lit("")).alias("han"), F.nullif("middle", F.lit("")).alias("middle"))
+    entity = cut_lineage(profiles.select("id", F.col("id").alias("e"), "weak", "han", "middle"))
     for _ in range(rounds):
-        entity = cut_lineage(entity)
-        profile = described.join(entity, "id").groupBy("e").agg(F.min("weak").alias("weak"), F.max(F.nullif("han", F.lit(""))).alias("han"), F.max(F.nullif("middle", F.lit(""))).alias("middle"))
-        own = cut_lineage(flat.select("id", "type", "key", "token", "strong", "spelling").join(entity, "id").drop("id").distinct().join(profile, "e"))
-        links = joins(own)
-        least = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a")
-        least = cut_lineage(least)
+        links = blocked(keyed, entity).unionByName(typed(close, entity))
+        least = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a"))
         if least.isEmpty():
             break
-        hop = least.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        for _ in range(3):  # shortens chains; what is left is for the next round
-            least = least.join(hop, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-        entity = entity.join(least.select(F.col("a").alias("e"), F.col("b").alias("n")), "e", "left").select("id", F.coalesce("n", "e").alias("e"))
-    return numbered.join(entity, "id").select("name", F.col("e").alias("entity"))
-
-
-def joins(own: DataFrame) -> DataFrame:
-    """(a, b): pairs of entities to merge, as stars within blocks. own: features of entities with their profiles."""
-    firm = own.filter("type = 'han'").groupBy("key").agg(F.min("e").alias("b"))
-    han = own.filter("type = 'han'").join(firm, "key").select(F.col("e").alias("a"), "b")
-    full = own.filter("type = 'full'").select("key", "e", "han", "middle").distinct()
-    blocks = full.groupBy("key").agg(F.min("e").alias("b"), F.min("han").alias("h1"), F.max("han").alias("h2"), F.min("middle").alias("m1"), F.max("middle").alias("m2"))
-    agreed = blocks.filter("(h1 is null or h1 = h2) and (m1 is null or m1 = m2)").select("key", "b")
-    split = blocks.filter("not ((h1 is null or h1 = h2) and (m1 is null or m1 = m2))").select("key")
-    same = full.join(agreed, "key").select(F.col("e").alias("a"), "b")
-    divided = full.join(split, "key")  # several people under one spelling: only what agrees fully is joined
-    apart = divided.filter("han is not null or middle is not null").join(divided.groupBy("key", "han", "middle").agg(F.min("e").alias("b")).withColumnsRenamed({"key": "k", "han": "h", "middle": "m"}), F.expr("key = k and han <=> h and middle <=> m")).select(F.col("e").alias("a"), "b")
-    hints = own.filter("type in ('initials', 'nick', 'acronym')").groupBy("type", "key", "e", "weak").agg(F.max("strong").alias("strong"))
-    strong = hints.filter("strong").groupBy("type", "key").agg(F.count_distinct("e").alias("n"), F.min("e").alias("b"))
-    loose = hints.filter("not strong")
-    led = loose.join(strong, ["type", "key"], "left")
-    hinted = led.filter("n = 1").select(F.col("e").alias("a"), "b")
-    alone = led.filter("n is null and type <> 'nick'").select("type", "key", "e")
-    lonely = alone.join(alone.groupBy("type", "key").agg(F.min("e").alias("b")), ["type", "key"]).select(F.col("e").alias("a"), "b")
-    typo = own.filter("type = 'typo'").select("key", "e", "token", "weak", "spelling")
-    wrong = typo.filter("weak").select("key", F.col("e").alias("a"), F.col("token").alias("x"))
-    right = typo.select("key", F.col("e").alias("b"), F.col("token").alias("y"), F.col("weak").alias("unsure"))
-    close = wrong.join(right, "key").filter("a <> b").filter(near(F.col("x"), F.col("y"))).groupBy("a", "b").agg(F.min("unsure").alias("unsure"))
-    # exactly one strong profile is near, or none and exactly one weak one
-    typed = close.groupBy("a").agg(F.count_if(~F.col("unsure")).alias("n"), F.count_if("unsure").alias("m"), F.min(F.when(~F.col("unsure"), F.col("b"))).alias("b"), F.min("b").alias("c")).filter("n = 1 or n = 0 and m = 1").select("a", F.coalesce("b", "c").alias("b"))
-    out = han
-    for more in (same, apart, hinted, lonely, typed):
-        out = out.unionByName(more)
-    return out.filter("a <> b").distinct()
+        hop = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("e"), F.coalesce("c", "b").alias("n"))  # longer chains are for the next round
+        moved = entity.join(hop, "e", "left").select("id", F.coalesce("n", "e").alias("e"), "weak", "han", "middle")
+        # the merged profile: what its members have
+        merged = moved.groupBy("e").agg(F.min("weak").alias("weak"), F.max("han").alias("han"), F.max("middle").alias("middle"))
+        entity = cut_lineage(moved.select("id", "e").join(merged, "e").select("id", "e", "weak", "han", "middle"))
+    return numbered.join(entity.select("id", F.col("e").alias("entity")), "id").select("name", "entity")
+
+
+def near_pairs(flat: DataFrame) -> DataFrame:
+    """(a, b): names of which one has a token at most one typing error away from the other's, all else being equal."""
+    typo = flat.filter("type = 'typo'").select("id", "key", "token")
+    other = typo.select("key", F.col("id").alias("b"), F.col("token").alias("y"))
+    return typo.withColumnsRenamed({"id": "a", "token": "x"}).join(other, "key").filter("a < b").filter(near(F.col("x"), F.col("y"))).select("a", "b").distinct()
+
+
+def blocked(keyed: DataFrame, entity: DataFrame) -> DataFrame:
+    """(a, b): entities to merge since they share a feature, as stars about one of their block. One window over all kinds of features.
+
+    The same Han spelling, or the same full name with the same Han spelling and middle initial, always joins. A full name alone joins when those who
+    bear it don't differ in Han spelling or middle initial. Initials, nicknames and acronyms join to the one strong profile that has them, and, where none
+    has, each other."""
+    own = keyed.join(entity, "id").groupBy("type", "key", "e", "weak", "han", "middle").agg(F.max("strong").alias("strong"))
+    exact = F.array(F.struct("type", "key"), F.when((F.col("type") == "full") & (F.col("han").isNotNull() | F.col("middle").isNotNull()), F.struct(F.lit("exact").alias("type"), F.concat_ws("|", "key", F.coalesce("han", F.lit("")), F.coalesce("middle", F.lit(""))).alias("key"))))
+    rows = own.select("e", "han", "middle", "strong", F.explode(F.filter(exact, lambda x: x.isNotNull())).alias("k")).select("e", "han", "middle", "strong", "k.*")
+    w = Window.partitionBy("type", "key")
+    strong = F.col("strong")
+    seen = rows.select("e", "type", strong, F.min("e").over(w).alias("first"), F.min("han").over(w).eqNullSafe(F.max("han").over(w)).alias("one_han"), F.min("middle").over(w).eqNullSafe(F.max("middle").over(w)).alias("one_middle"), F.sum(strong.cast("int")).over(w).alias("n_strong"), F.min(F.when(strong, F.col("e"))).over(w).alias("only"))
+    hint = ~strong & (F.col("n_strong") == 1)
+    alone = ~strong & (F.col("n_strong") == 0) & (F.col("type") != "nick")
+    firm = F.col("type").isin("han", "exact") | ((F.col("type") == "full") & F.col("one_han") & F.col("one_middle"))
+    hinted = F.col("type").isin("initials", "nick", "acronym")
+    target = F.when(firm, F.col("first")).when(hinted & hint, F.col("only")).when(hinted & alone, F.col("first"))
+    return seen.select(F.col("e").alias("a"), target.alias("b")).filter("b is not null and a <> b").distinct()
+
+
+def typed(close: DataFrame, entity: DataFrame) -> DataFrame:
+    """(a, b): weak profiles with the one strong profile that is a typing error away; without a strong one, with the one weak profile."""
+    a = entity.select(F.col("id").alias("a"), F.col("e").alias("ea"), F.col("weak").alias("wa"))
+    b = entity.select(F.col("id").alias("b"), F.col("e").alias("eb"), F.col("weak").alias("wb"))
+    pairs = close.join(a, "a").join(b, "b").filter("ea <> eb").select(F.explode(F.array(F.struct(F.col("ea").alias("x"), F.col("wa").alias("wx"), F.col("eb").alias("y"), F.col("wb").alias("wy")), F.struct(F.col("eb").alias("x"), F.col("wb").alias("wx"), F.col("ea").alias("y"), F.col("wa").alias("wy")))).alias("p")).select("p.*")
+    near_by = pairs.filter("wx").distinct().groupBy("x").agg(F.count_if(~F.col("wy")).alias("n"), F.count_if("wy").alias("m"), F.min(F.when(~F.col("wy"), F.col("y"))).alias("b"), F.min("y").alias("c"))
+    return near_by.filter("n = 1 or n = 0 and m = 1").select(F.col("x").alias("a"), F.coalesce("b", "c").alias("b"))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:
