@@ -34,7 +34,7 @@ NOTATIONS = {
     "es": ("es", "spa", "spanish", "español", "espanol", "castellano"),
     "pt": ("pt", "por", "portuguese", "português", "portugues"),
 }
-ORDERS, BITS = (1, 2, 3), 16
+ORDERS, BITS = (0, 1, 2, 3), 16  # order 0: only whether a character is Han, so that Han characters never seen before still tell
 SURE = 6.0  # nats between the best language and the next from which a segment counts
 SURE_SECOND = 9.0  # and from which it brings in a language besides the text's main one
 WORDS, HAN, ODD = 4, 6, 12  # a segment is a sentence from so many words, Han characters or other characters beyond ASCII on
@@ -113,13 +113,14 @@ def cut(texts: list[str | None], query: np.ndarray) -> Segments:
 
 
 def grams(s: Segments) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order the hash of the n-gram at each position, and where there is one; none crosses segments or is all space."""
+    """For each order the hash of the n-gram at each position, and where there is one; none crosses segments or is all space. First the script."""
     n = len(s.points)
     left = np.repeat(np.r_[s.begin[1:], n], s.lengths) - np.arange(n)  # characters to the segment's end
     h = np.zeros(n, np.uint64)
     space = s.points == 32
     blank = np.ones(n, bool)
-    for order in ORDERS:
+    yield (tables()[1][s.points] == 2).astype(np.int64), ~space
+    for order in ORDERS[1:]:
         shifted = np.zeros(n, np.uint64)
         shifted[: n - order + 1] = s.points[order - 1 :]
         h = (h * np.uint64(0x9E3779B1) + shifted + np.uint64(order)) & np.uint64(0xFFFFFFFFFFFF)
@@ -155,7 +156,7 @@ class Model:
             rows = self.logs[order][hashes]
             rows[~there] = 0
             out += np.add.reduceat(rows, s.begin, axis=0)
-        return out / np.sqrt(len(ORDERS))  # n-grams overlap and so repeat what they say
+        return out / np.sqrt(len(ORDERS) - 1)  # n-grams overlap and so repeat what they say
 
 
 def counted(texts: list[str], languages: np.ndarray, query: np.ndarray, segment_language: bool = False, weight: float = 1.0) -> np.ndarray:
