@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ocellus.llm.sampling import pieces
+
+PIECE = 1_000_000  # characters of a text that are taken at once
 LETTER, NUMBER, OTHER, BLANK, SPACE, SHORT, LONG = range(7)  # classes; BLANK is U+0020, SPACE other white space, SHORT and LONG an apostrophe before 1 or 2 letters of a contraction
 AFTER_ONE, AFTER_TWO, DONE = 5, 6, 7  # states beyond those named as the classes 0 to 4: one or two letters of a contraction are to come, or its last has come
 # fixed values: the endings that the vocabulary's pattern splits off, lower case only
@@ -167,6 +170,24 @@ class Encoder:
         return data, np.r_[offset[starts], len(data)], before[begin + lengths] - before[begin]
 
     def encode(self, texts: list[str | None], offsets: bool = False):
+        """encode_short() of texts of any length: those of over PIECE characters are cut where a letter is followed by a blank, which never changes the pieces."""
+        if all(t is None or len(t) <= PIECE for t in texts):
+            return self.encode_short(texts, offsets)
+        cut = [pieces(t or "", PIECE, lambda a, b: a.isalpha() and b == " ") for t in texts]
+        owner = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+        got = [self.encode_short([x], offsets) for parts in cut for x in parts]  # one at a time: a piece is a block of its own
+        lengths = np.bincount(owner, [int(g[1][0]) for g in got], minlength=len(texts)).astype(np.int64)
+        values = np.concatenate([g[0] for g in got])
+        if not offsets:
+            return values, lengths
+        starts, base, last = [], 0, -1
+        for g, part, o in zip(got, (x for parts in cut for x in parts), owner.tolist(), strict=True):
+            base = base if o == last else 0
+            starts.append(g[2] + base)
+            base, last = base + len(part.encode("utf-8", "replace")), o
+        return values, lengths, np.concatenate(starts)
+
+    def encode_short(self, texts: list[str | None], offsets: bool = False):
         """(values, lengths): the ids of all texts one after another and the number of each text's ids; with offsets also the
         byte in its text at which each id's token begins. Null and empty texts have no ids."""
         clean = [t or "" for t in texts]

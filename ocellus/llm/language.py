@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.llm.encodings import CHAINS, garble
+from ocellus.llm.sampling import hash_sample, pieces
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "pt")
 # fixed values: usual notations of the languages, without region and in lower case
@@ -40,6 +41,7 @@ SURE_SECOND = 9.0  # and from which it brings in a language besides the text's m
 WORDS, HAN, ODD = 4, 6, 12  # a segment is a sentence from so many words, Han characters or other characters beyond ASCII on
 QUERY_WORDS, QUERY_HAN = 3, 4
 TEMPER = 6.0
+PIECE = 400_000  # characters of a text that are taken at once
 
 
 @functools.cache
@@ -233,7 +235,18 @@ def posterior(scores: np.ndarray) -> np.ndarray:
 
 
 def segments_of(texts: list[str | None], query: np.ndarray, model: Model) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segments, their length, language number, confidence, margin)."""
+    """(segments, their length, language number, confidence, margin). Texts of over PIECE characters are taken in pieces cut after white space."""
+    whole = [[t or ""] if len(t or "") <= PIECE else pieces(t, PIECE, lambda a, b: a.isspace()) for t in texts]
+    if len(texts) == 1 and len(whole[0]) > 1:
+        parts, base = [], 0
+        for x in whole[0]:
+            s, *rest = segments_of([x], query, model)
+            s.offset = s.offset + base
+            base += len(x)
+            parts.append((s, *rest))
+        join = lambda k: np.concatenate([getattr(p[0], k) for p in parts])
+        merged = Segments(np.zeros(0, np.uint32), join("begin"), join("text"), join("offset"), join("words"), join("han"), join("odd"))
+        return merged, *(np.concatenate([p[i] for p in parts]) for i in range(1, 5))
     s = cut(texts, query)
     if not len(s.begin):
         return s, s.begin, s.begin, np.zeros(0), np.zeros(0)
@@ -262,21 +275,24 @@ def languages_of(texts: list[str | None], query: np.ndarray, model: Model) -> li
         out[i] = [(LANGUAGES[m], float(top[i, m]))] + [(LANGUAGES[j], float(top[i, j])) for j in range(n) if j != m and clear[i, j]]
     rest = [i for i in np.unique(s.text[(s.words > 0) | (s.han > 0)]).tolist() if not out[i]]
     if rest:  # nothing that counts by itself: the text as a whole
-        flat = cut([" ".join(texts[i].split()).replace(". ", " ") for i in rest], np.zeros(len(rest), bool))
+        parts = [(j, x) for j, i in enumerate(rest) for x in pieces(texts[i], PIECE, lambda a, b: a.isspace())]
         total = np.zeros((len(rest), n))
-        np.add.at(total, flat.text, model.score(flat))
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            flat = cut([x for _, x in some], np.zeros(len(some), bool))
+            np.add.at(total, np.array([j for j, _ in some])[flat.text], model.score(flat))
         for i, scores in zip(rest, total, strict=True):
             out[i] = [(LANGUAGES[int(scores.argmax())], float(posterior(scores[None])[0].max()))]
     return out
 
 
-def training_rows(df: DataFrame, sample: int, longest: int) -> list[tuple[str, str | None, bool]]:
-    """At most `sample` texts of each field, those of least key hash; of longer ones the first `longest` characters. For training only."""
-    from pyspark.sql import Window
+FIELDS = ("title", "abstract", "query", "document")
+
 
-    order = Window.partitionBy("field").orderBy(F.xxhash64(F.lit(3), "record_id"), "record_id")  # the limit is applied before the shuffle as well
-    rows = df.filter("length(text) > 0").select("field", "record_id", F.substring("text", 1, longest).alias("text"), "label").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    return [(r.text, r.label, r.field == "query") for r in rows.orderBy("field", "n").collect()]
+def training_rows(df: DataFrame, sample: int, longest: int) -> list[tuple[str, str | None, bool]]:
+    """At most `sample` texts of each of FIELDS, those of least key hash; of longer ones the first `longest` characters. For training only."""
+    lean = df.filter("length(text) > 0").select("field", "record_id", F.substring("text", 1, longest).alias("text"), "label")
+    return [(r.text, r.label, field == "query") for field in FIELDS for r in hash_sample(lean.filter(F.col("field") == field), "record_id", sample, 3).collect()]
 
 
 def broadcast_model(df: DataFrame, sample: int, garbled: int):
@@ -284,7 +300,7 @@ def broadcast_model(df: DataFrame, sample: int, garbled: int):
     return df.sparkSession.sparkContext.broadcast(model.dump())  # orders * 65,536 * languages floats whatever the data
 
 
-def blocks(batch: pa.RecordBatch, chars: int = 400_000) -> Iterator[tuple[int, int, list[str | None], np.ndarray]]:
+def blocks(batch: pa.RecordBatch, chars: int = PIECE) -> Iterator[tuple[int, int, list[str | None], np.ndarray]]:
     texts = batch.column("text").to_pylist()
     query = np.array([f == "query" for f in batch.column("field").to_pylist()], bool)
     a = size = 0

@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ocellus.llm.bpe import blocks
 from ocellus.llm.encodings import CHAINS, SINGLE, garble, name, numbers, restore
+from ocellus.llm.sampling import hash_sample
 
 BITS = 16
 LONG_WORD = 72  # bytes; longer words are judged by their best stretch
@@ -264,7 +266,7 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[bool, str | None
 
 def training_sample(df: DataFrame, text: str, key: str, sample: int, longest: int = 20_000) -> list[str]:
     """The `sample` texts of least key hash, of longer ones the first `longest` characters: a bounded sample for training only."""
-    rows = df.filter(F.length(text) > 0).select(F.substring(text, 1, longest).alias("t"), F.xxhash64(F.lit(5), key).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(sample)
+    rows = hash_sample(df.filter(F.length(text) > 0).select(F.substring(text, 1, longest).alias("t"), F.col(key).alias("k")), "k", sample, 5)
     return [r.t for r in rows.collect()]
 
 
@@ -283,8 +285,8 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", sample:
         own = loaded(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 500):
-                rows = repair(texts[a : a + 500], own)
+            for a, b in blocks(texts, 500_000):
+                rows = repair(texts[a:b], own)
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(rows)), pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.string())], names=[key, "garbled", "chain", "n_passages", "n_restored", "repaired"])
 

@@ -73,3 +73,15 @@ def test_column(spark, library):
     assert got == sorted(((i, library([t])[0] if t else []) for i, t, _ in rows), key=str)
     assert sorted(r.n_tokens for r in encode_column(df, "doc_id", "text", mode="count").collect()) == sorted(len(x) for _, x in got)
     assert encode_column(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_long_texts_are_taken_in_pieces(encoder, library, monkeypatch):
+    import ocellus.llm.bpe as bpe
+
+    r = random.Random(7)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(3000)), None, "", "don't  stop " * 200, "x" * 900, "word " * 300]
+    plain = encoder.encode(texts, offsets=True)
+    monkeypatch.setattr(bpe, "PIECE", 100)
+    cut = encoder.encode(texts, offsets=True)
+    assert all((a == b).all() for a, b in zip(plain, cut))
+    assert parts(*cut[:2]) == library([t or "" for t in texts])

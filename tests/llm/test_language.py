@@ -69,3 +69,16 @@ def test_frames(spark):
     parts = text_segments(df.filter("record_id = 1004"), sample=400, garbled=5)
     assert parts.count() >= 2 and parts.filter("confidence < 0 or confidence > 1 or n_chars < 1").count() == 0
     assert text_languages(df.limit(0)).collect() == [] and text_segments(df.limit(0)).collect() == []
+
+
+def test_long_texts_are_taken_in_pieces(model, monkeypatch):
+    import ocellus.llm.language as language
+
+    r = random.Random(5)
+    texts = [text(r, "fr", 60) + " " + text(r, "en", 60), "a 1 b 2 c 3 " * 400]
+    before = [languages_of([t], np.array([False]), model) for t in texts]
+    monkeypatch.setattr(language, "PIECE", 500)
+    after = [languages_of([t], np.array([False]), model) for t in texts]
+    assert [[x for x, _ in b[0]] for b in before] == [[x for x, _ in a[0]] for a in after]
+    s, lengths, *_ = language.segments_of([texts[0]], np.array([False]), model)
+    assert lengths.sum() == len(texts[0]) and (np.diff(s.offset) > 0).all()
