@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 2.0**64
@@ -19,6 +19,17 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return hashed.orderBy("__hash", key).limit(n).drop("__hash")
 
 
+def hash_samples(df: DataFrame, group: str, groups: tuple[str, ...], key: str, n: int, seed: int) -> DataFrame:
+    """hash_sample() of each of the given groups at once: one count, one sort of what the counts let through."""
+    own = df.filter(F.col(group).isin(*groups)).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
+    totals = {r[group]: r["count"] for r in own.groupBy(group).count().collect()}  # one row per given group
+    keep = F.lit(False)
+    for g, total in totals.items():
+        keep |= (F.col(group) == g) & ((F.col("__hash") < int(-SPAN / 2 + SPAN * 3 * n / total)) if total > 8 * n else F.lit(True))
+    order = Window.partitionBy(group).orderBy("__hash", key)
+    return own.filter(keep).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).orderBy(group, "__n").drop("__hash", "__n")
+
+
 def pieces(text: str, limit: int, good) -> list[str]:
     """A long text cut into pieces of about `limit` characters where good(before, after) holds for the characters at the cut; where it
     never does, the piece goes on."""

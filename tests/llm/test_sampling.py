@@ -1,4 +1,4 @@
-from ocellus.llm.sampling import hash_sample, pieces
+from ocellus.llm.sampling import hash_sample, hash_samples, pieces
 
 
 def test_samples_are_those_of_least_hash(spark):
@@ -13,3 +13,11 @@ def test_samples_are_those_of_least_hash(spark):
 def test_pieces():
     assert pieces("ab cd ef", 2, lambda a, b: b == " ") == ["ab", " cd", " ef"]
     assert pieces("abcdef", 2, lambda a, b: False) == ["abcdef"] and pieces("", 2, lambda a, b: True) == [""]
+
+
+def test_samples_of_groups(spark):
+    df = spark.range(9000).selectExpr("id k", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' else 'c' end g", "1 n")
+    got = {}
+    for r in hash_samples(df, "g", ("a", "b", "none"), "k", 40, 1).collect():
+        got.setdefault(r.g, []).append(r.k)
+    assert set(got) == {"a", "b"} and got["a"] == [r.k for r in hash_sample(df.filter("g = 'a'"), "k", 40, 1).collect()]
