@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ocellus.operators import fulltext, fusion, retrieval
 from ocellus.plans import providers, understanding
 from ocellus.sources import export
+from ocellus.sources.locate import locate, read_table
 from ocellus.sources.papers import fresh_embeddings, freshness, paper_detail, papers
-from ocellus.sources.tables import table
 
 DEPTH = 100  # fixed value: how many candidates each retriever gives
 JUDGED = 10  # fixed value: how many results a judge sees
@@ -56,11 +56,8 @@ class Settings:
 
 
 def source(spark: SparkSession, name: str, at: str | None = None) -> DataFrame:
-    """A table by folder or JDBC address: the argument, else PAPER_DB_URL, else DATABASE_URL."""
-    place = at or os.environ.get("PAPER_DB_URL") or os.environ.get("DATABASE_URL")
-    if not place:
-        raise FileNotFoundError("name a folder of Parquet tables or set PAPER_DB_URL")
-    return spark.read.format("jdbc").option("url", place).option("dbtable", name).load() if place.startswith("jdbc:") else table(spark, place, name)
+    """A table from the place given or the one that the environment names."""
+    return read_table(spark, name, locate(at))
 
 
 @dataclass
