@@ -9,6 +9,7 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +79,15 @@ class Steps:
 
 
 class Engine:
-    def __init__(self, table_of_papers: DataFrame, keywords: DataFrame | None = None, embeddings: DataFrame | None = None, settings: Settings | None = None, embedder=None, rewriter=None, judge=None):
+    def __init__(self, table_of_papers: DataFrame, keywords: DataFrame | None = None, embeddings: DataFrame | None = None, settings: Settings | None = None, embedder=None, rewriter=None, judge=None, keep: bool = True):
+        """keep: hold typed papers and tokens in memory, and on disk what doesn't fit, as every search reads them several times; close() lets them go. For a
+        corpus too large for that, prepare() writes them once instead."""
         self.settings = settings or Settings()
         self.papers = papers(table_of_papers, keywords)
         self.index = fulltext.token_index(self.papers)
+        if keep:
+            self.papers = self.papers.persist(StorageLevel.MEMORY_AND_DISK)
+            self.index = fulltext.token_index(self.papers).persist(StorageLevel.MEMORY_AND_DISK)
         self.embeddings, self.embedder, self.rewriter, self.judge = embeddings, embedder, rewriter, judge
         self.cache, self.steps = Cache(self.settings.cache_seconds), Steps()
 
@@ -89,6 +95,29 @@ class Engine:
     def over(spark: SparkSession, folder: str, **options) -> Engine:
         return Engine(source(spark, "papers", folder), source(spark, "paper_keywords", folder), source(spark, "paper_embeddings", folder), **options)
 
+    @staticmethod
+    def prepare(table_of_papers: DataFrame, keywords: DataFrame | None, folder: str) -> None:
+        """Writes typed papers, their tokens and the postings, these bucketed into ranges of tokens so that a query's tokens are found by file statistics."""
+        typed = papers(table_of_papers, keywords)
+        typed.write.mode("overwrite").parquet(f"{folder}/typed.parquet")
+        index = fulltext.token_index(table_of_papers.sparkSession.read.parquet(f"{folder}/typed.parquet"))
+        index.write.mode("overwrite").parquet(f"{folder}/tokens.parquet")
+        fulltext.postings(index).repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
+
+    @classmethod
+    def prepared(cls, spark: SparkSession, folder: str, embeddings: DataFrame | None = None, **options) -> Engine:
+        """An engine over what prepare() wrote."""
+        own = cls.__new__(cls)
+        own.settings = options.get("settings") or Settings()
+        own.papers, own.index = spark.read.parquet(f"{folder}/typed.parquet"), spark.read.parquet(f"{folder}/tokens.parquet")
+        own.embeddings, own.embedder, own.rewriter, own.judge = embeddings, options.get("embedder"), options.get("rewriter"), options.get("judge")
+        own.cache, own.steps = Cache(own.settings.cache_seconds), Steps()
+        return own
+
+    def close(self) -> None:
+        self.index.unpersist()
+        self.papers.unpersist()
+
     def knows(self, name: str) -> bool:
         return retrieval.knows_author(self.papers, name)
 

@@ -127,3 +127,11 @@ def test_cache_forgets():
     assert c.get(0) is None and c.get(2) == 2
     c.seconds = -1
     assert c.get(2) is None
+
+
+def test_a_prepared_engine_finds_the_same(spark, table, tmp_path):
+    Engine.prepare(table, None, str(tmp_path))
+    kept, written = Engine(table), Engine.prepared(spark, str(tmp_path))
+    for text in ("dry eye", "王海燕的青光眼相关文章"):
+        assert [r[:] for r in kept.search(text, today=TODAY).collect()] == [r[:] for r in written.search(text, today=TODAY).collect()]
+    kept.close()
