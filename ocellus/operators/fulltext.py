@@ -19,16 +19,35 @@ COLUMNS = ("title", "authors", "keywords", "abstract")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 
 
+GAP = "  "
+
+
+def token_text(x: Column) -> Column:
+    """Tokens as one text, each with a blank on either side: " dry  eye ". Words and phrases are counted in it by plain text functions."""
+    return F.concat(F.lit(" "), F.array_join(tokens(x), GAP), F.lit(" "))
+
+
+def token_array(x: Column | str) -> Column:
+    return F.filter(F.split(F.btrim(x), GAP), lambda t: t != "")
+
+
+def token_count(x: str) -> Column:
+    """The tokens of a token_text(), which has two blanks for each, and two for none."""
+    blanks = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    return F.when(F.col(x) == GAP, 0).otherwise((blanks / 2).cast("int"))
+
+
 def token_index(papers: DataFrame) -> DataFrame:
-    """(id, title, authors, keywords, abstract, length): the tokens of each column as an array; lists are joined by a space."""
+    """(id, title, authors, keywords, abstract, length): the tokens of each column as token_text(), and their number in all; lists are joined by a space."""
     text = {c: F.array_join(c, " ") if c in ("authors", "keywords") else F.col(c) for c in COLUMNS}
-    split = papers.select("id", *[tokens(text[c]).alias(c) for c in COLUMNS])
-    return split.withColumn("length", reduce(lambda a, b: a + b, [F.size(c) for c in COLUMNS]))
+    made = papers.select("id", *[token_text(text[c]).alias(c) for c in COLUMNS])
+    return made.withColumn("length", reduce(lambda a, b: a + b, [token_count(c) for c in COLUMNS]))
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(token, id, tf, length): how often each token occurs in each paper; write it bucketed by token to look tokens up."""
-    return index.select("id", "length", F.explode(F.concat(*COLUMNS)).alias("token")).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "length")
+    """(token, id, tf, length): how often each token occurs in each paper; written in order of tokens, a query finds its own by file statistics."""
+    every = F.concat(*[token_array(c) for c in COLUMNS])
+    return index.select("id", "length", F.explode(every).alias("token")).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "length")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -237,7 +256,7 @@ def parse_match(text: str) -> Node | None:
 def places(p: Phrase, column: str) -> Column:
     """The positions, from 1, at which a phrase begins in a column's tokens."""
     n = len(p.words)
-    array = F.col(column)
+    array = token_array(column)
     last = F.size(array) - n + 1
 
     def here(i: Column) -> Column:
@@ -253,14 +272,24 @@ def places(p: Phrase, column: str) -> Column:
     return F.when(last >= 1, F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), here)).otherwise(F.array().cast("array<int>"))
 
 
+def overlaps_itself(words: list[str]) -> bool:
+    """Whether two occurrences can share words, as of "a a" in "a a a"."""
+    return any(words[:k] == words[-k:] for k in range(1, len(words)))
+
+
 def occurrences(p: Phrase) -> Column:
+    """How often a phrase occurs in its columns."""
+    whole = "".join(f" {w} " for w in p.words)
     total = F.lit(0)
     for c in p.columns:
-        if len(p.words) == 1 and not p.first:
-            w = p.words[0]
-            total += F.size(F.filter(F.col(c), (lambda x: x.startswith(w)) if p.prefix else (lambda x: x == w)))
+        if p.first:
+            total += F.col(c).startswith(whole[:-1] if p.prefix else whole).cast("int")
+        elif len(p.words) > 1 and (p.prefix or overlaps_itself(p.words)):
+            total += F.when(F.col(c).contains(whole[:-1]), F.size(places(p, c))).otherwise(0)
+        elif p.prefix:
+            total += F.regexp_count(c, F.lit(f"{whole[:-1]}\\S* "))
         else:
-            total += F.size(places(p, c))
+            total += ((F.length(c) - F.length(F.replace(c, F.lit(whole), F.lit("")))) / len(whole)).cast("int")
     return total
 
 
