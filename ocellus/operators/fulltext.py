@@ -40,7 +40,8 @@ def token_count(x: str) -> Column:
 def token_index(papers: DataFrame) -> DataFrame:
     """(id, title, authors, keywords, abstract, length): the tokens of each column as token_text(), and their number in all; lists are joined by a space."""
     text = {c: F.array_join(c, " ") if c in ("authors", "keywords") else F.col(c) for c in COLUMNS}
-    made = papers.select("id", *[token_text(text[c]).alias(c) for c in COLUMNS])
+    # the generator keeps the optimizer from repeating the tokenization for every use of a column
+    made = papers.select("id", F.inline(F.array(F.struct(*[token_text(text[c]).alias(c) for c in COLUMNS]))))
     return made.withColumn("length", reduce(lambda a, b: a + b, [token_count(c) for c in COLUMNS]))
 
 
@@ -341,7 +342,8 @@ def bm25_raw(index: DataFrame, query: str) -> DataFrame:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     phrases = node.phrases()
     number = {id(p): f"__f{i}" for i, p in enumerate(phrases)}
-    counted = index.select("*", *[occurrences(p).alias(number[id(p)]) for p in phrases])
+    counts = F.inline(F.array(F.struct(*[occurrences(p).alias(number[id(p)]) for p in phrases])))  # counted once, used in match, frequency and score
+    counted = index.select("*", counts)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("avgdl"), *[F.count_if(F.col(f) > 0).alias(f"{f}_df") for f in number.values()])
     matched = counted.filter(condition(node, number)).crossJoin(F.broadcast(stats))  # one row
     open_ = gates(node, number, F.lit(True))
