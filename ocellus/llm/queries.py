@@ -92,7 +92,7 @@ def p8_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), passes=1)
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,6 +39,19 @@ def test_a_total_beyond_what_repeats_allow(spark):
     assert got["a"].tokens + got["b"].tokens == pytest.approx(15_000, rel=0.03)
 
 
+def test_a_scarce_source_does_not_shrink_the_mixture(spark):
+    docs = corpus(spark, {"a": 2000, "b": 1500, "c": 3})
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 4)], TARGETS)
+    mixed = mixture(docs, targets, block_tokens=64, passes=1).cache()
+    got = {r.source: r for r in shares(mixed, targets).collect()}
+    size = sum(len(r.text.split()) for r in docs.filter("source in ('a', 'b', 'c') and text <> ''").collect())
+    whole = sum(r.tokens for r in got.values())
+    assert whole == pytest.approx(size, rel=0.05)
+    assert got["c"].n_documents == 12 and got["c"].most_repeats == 4
+    assert got["c"].missing_tokens == pytest.approx(0.1 * whole - got["c"].tokens, abs=1) and got["c"].missing_tokens > 0
+    assert got["a"].tokens / got["b"].tokens == pytest.approx(0.5 / 0.4, rel=0.05) and got["a"].most_repeats == 1
+
+
 def test_filling():
     q = [Quota("a", 0.5, 1, 100), Quota("b", 0.5, 2, 10)]
     assert fill(q, None) == pytest.approx(40) and [x.tokens for x in q] == [20, 20]
