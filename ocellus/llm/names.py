@@ -11,6 +11,7 @@ Which tokens are surnames, syllables or given names is learnt from the strings t
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -140,6 +141,8 @@ def splits(given: str, known: frozenset[str], most: int = 2) -> list[list[str]]:
 
 @dataclass(frozen=True)
 class Lexicon:
+    """What the table's names tell of tokens; of surnames and common tokens it need only hold those of the names at hand."""
+
     surnames: frozenset[str]  # of people with a Han spelling
     syllables: frozenset[str]
     common: frozenset[str]  # tokens of several strings
@@ -234,19 +237,36 @@ def distinct_names(df: DataFrame, column: str) -> DataFrame:
     return items.select(F.regexp_replace("name", r"(?U)^\s+|\s+$", "").alias("name")).filter("name <> ''").distinct()
 
 
-def lexicon(names: DataFrame, least: int = 3, most: int = 20_000) -> Lexicon:
-    """Tokens with at least `least` witnesses (syllables 2), the `most` commonest of each role."""
+def asked(name: str) -> set[str]:
+    """The tokens that features() looks up as surname or common token."""
+    n = parse(name)
+    return set(n.tokens if n.kind == "group" else itertools.chain(*pairs_of(n)))
+
+
+def lexicon(names: DataFrame, least: int = 3) -> tuple[frozenset[str], DataFrame]:
+    """Syllables with two witnesses, which are some of SYLLABLES, and (token, surname, common) of all other tokens with at least `least`."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [e for x in batch.column(0).to_pylist() for e in evidence(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["role", "token", "witness"])
 
-    counts = names.mapInArrow(look, "role string, token string, witness string").distinct().groupBy("role", "token").count()
-    found = {}
-    for role in ("surname", "syllable", "token"):
-        found[role] = frozenset(r.token for r in counts.filter((F.col("role") == role) & (F.col("count") >= (2 if role == "syllable" else least))).orderBy(F.col("count").desc(), "token").limit(most).collect())
-    return Lexicon(found["surname"], found["syllable"], found["token"])
+    witnesses = names.mapInArrow(look, "role string, token string, witness string").distinct()
+    counts = cut_lineage(witnesses.groupBy("role", "token").count().filter(F.col("count") >= F.when(F.col("role") == "syllable", 2).otherwise(least)))
+    syllables = frozenset(r.token for r in counts.filter("role = 'syllable'").collect())  # at most as many as SYLLABLES has
+    return syllables, counts.filter("role <> 'syllable'").groupBy("token").agg(F.bool_or(F.col("role") == "surname").alias("surname"), F.bool_or(F.col("role") == "token").alias("common"))
+
+
+def with_flags(names: DataFrame, flags: DataFrame) -> DataFrame:
+    """(name, surnames, common): each name with those of its tokens that are surnames, and that are common."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(x, t) for x in batch.column(0).to_pylist() for t in asked(x) or {""}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["name", "token"])
+
+    tokens = names.select("name").mapInArrow(look, "name string, token string").join(flags, "token", "left")
+    return tokens.groupBy("name").agg(F.collect_list(F.when(F.col("surname"), F.col("token"))).alias("surnames"), F.collect_list(F.when(F.col("common"), F.col("token"))).alias("common"))
 
 
 def near(a, b):
@@ -262,22 +282,20 @@ def resolve(df: DataFrame, column: str = "authors_display", rounds: int = 12) ->
     Null and empty cells have no names; items without letters are entities of their own; repeated strings are one; an empty table gives no
     rows; further columns are ignored. `rounds` only bounds the iteration, which ends when nothing merges any more."""
     names = cut_lineage(distinct_names(df, column))
-    lex = lexicon(names)
-    shared = df.sparkSession.sparkContext.broadcast(lex)  # at most 3 * 20,000 tokens
+    syllables, flags = lexicon(names)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             rows = []
-            for name, number in zip(batch.column("name").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                weak, han, middle, found = features(name, own)
+            for name, number, surnames, common in zip(*(batch.column(c).to_pylist() for c in ("name", "id", "surnames", "common")), strict=True):
+                weak, han, middle, found = features(name, Lexicon(frozenset(surnames), syllables, frozenset(common)))
                 rows.append((number, weak, han, middle, [dict(zip(("type", "key", "token", "strong", "spelling"), f, strict=True)) for f in found]))
             kind = pa.list_(pa.struct([("type", pa.string()), ("key", pa.string()), ("token", pa.string()), ("strong", pa.bool_()), ("spelling", pa.string())]))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.string(), pa.string(), kind), strict=True)], names=["id", "weak", "han", "middle", "features"])
 
     numbered = names.select("name", F.xxhash64("name").alias("id"))
-    described = cut_lineage(numbered.mapInArrow(describe, "id bigint, weak boolean, han string, middle string, features array<struct<type:string,key:string,token:string,strong:boolean,spelling:string>>"))
+    described = cut_lineage(with_flags(names, flags).withColumn("id", F.xxhash64("name")).mapInArrow(describe, "id bigint, weak boolean, han string, middle string, features array<struct<type:string,key:string,token:string,strong:boolean,spelling:string>>"))
     flat = described.select("id", F.explode("features").alias("f")).select("id", "f.*")
     close = cut_lineage(near_pairs(flat))
     keyed = cut_lineage(flat.filter("type <> 'typo'").groupBy("id", "type", "key").agg(F.max("strong").alias("strong")))

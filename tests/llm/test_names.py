@@ -26,6 +26,19 @@ def test_people(spark):
     assert len(got & want) >= 0.9 * len(want), want - got
 
 
+def test_more_recurring_tokens_than_any_limit(spark):
+    tokens = ["".join(x) for x in itertools.islice(itertools.product("abcdefgh", repeat=5), 20_100)]
+    rows = []
+    for i in range(0, len(tokens), 20):
+        own = tokens[i : i + 20]
+        rows += [(" ".join(own[k:] + own[:k]) + " Study Group",) for k in (0, 7, 13)]
+    people = ["Zyltan Zorvath", "Zyltan Zorvatt", "Zyltan Zorvats", "Mirko Zorvath", "Petra Zorvath"]
+    df = spark.createDataFrame(rows + [(x,) for x in people], "authors_display string")
+    entity = {r.name: r.entity for r in resolve(df).filter(F.col("name").isin(*people)).collect()}
+    assert entity["Zyltan Zorvath"] == entity["Zyltan Zorvatt"] == entity["Zyltan Zorvats"]
+    assert len(set(entity.values())) == 3
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([(None,), ("",)], "authors_display string")
     assert resolve(df).collect() == []
