@@ -32,6 +32,8 @@ CERTAIN = 40.0  # and from which it does without
 PURGE = 60.0  # words of a training text that reach this together, or turn back into UTF-8, keep it from being an example of clean text
 UNSEEN = -15.5  # the log-probability under which clean words don't have a bigram
 RAISED = re.compile("[a-zß-ÿ][À-Þ]")  # a capital within a word: no accent was lost there
+LATIN, CJK = "A-Za-zÀ-ÖØ-öø-ɏ", "\u3000-\u303f\u3400-\u9fff\uff00-\uffef"
+ALONE = re.compile(f"(?<=[{CJK}])[{LATIN[6:]}](?![{LATIN}])|(?<![{LATIN}])[{LATIN[6:]}](?=[{CJK}])")  # an accented letter beside Chinese, of no word: a sign of Chinese texts that was taken for one
 LOST = ("�".encode(), "ï¿½".encode())  # a lost character, and one that was decoded wrongly once more
 
 
@@ -202,6 +204,8 @@ def restored(word: str, chain: int, model: Model) -> str | None:
             out.append(back)
         else:
             out.append(x)
+    if changed and steps[0][0] in ("cp1252", "mac_roman") and ALONE.search("".join(out)):
+        return None
     return "".join(out) if changed else None
 
 
@@ -270,14 +274,46 @@ def training_sample(df: DataFrame, text: str, key: str, sample: int, longest: in
     return [r.t for r in rows.collect()]
 
 
+def inventory(df: DataFrame, text: str, model: Model) -> frozenset[str]:
+    """The characters beyond ASCII that clean texts of the whole table hold twice or more, besides those the model knows: counted in the words with such a
+    character, of texts without sure signs of garbling in which the model finds none of these words garbled."""
+    shared = df.sparkSession.sparkContext.broadcast(model.dump())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = loaded(shared.value)
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            texts = batch.column(0).to_pylist()
+            for a, b in blocks(texts, 500_000):
+                new = [None if not t or t.isascii() or not (odd := unknown(t, own)) else " ".join(w for w in t.split() if not odd.isdisjoint(w)) for t in texts[a:b]]
+                odd_words, owner = words(new)
+                if not odd_words:
+                    continue
+                bad = set(owner[judged(odd_words, own)[0]].tolist())
+                for i in sorted(set(owner.tolist()) - bad):
+                    if not suspicious(texts[a + i]):
+                        odd = unknown(new[i], own)
+                        seen.update(c for c in new[i] if c in odd)
+            yield pa.RecordBatch.from_arrays([pa.array(map(ord, seen), pa.int32()), pa.array(seen.values(), pa.int64())], names=["code", "n"])
+
+    counts = df.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).filter("n > 1")
+    return frozenset(chr(r.code) for r in counts.collect())  # at most as many as there are code points
+
+
+def unknown(text: str, model: Model) -> set[str]:
+    return {c for c in set(text) - model.known if not c.isascii()}
+
+
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 3000, garbled: int = 700) -> DataFrame:
     """(key, garbled, chain, n_passages, n_restored, repaired) of each row; chain is the one most of its garbled words went through.
 
     A text is garbled if one of its words is, or holds U+FFFD, which only a wrong decoding leaves; such a word counts even if it can't be restored. Words that
     can are restored in `repaired`, all else is left as it is. Null and empty texts are not garbled and stay as they are. Repeated rows are judged each;
-    an empty table gives no rows; further columns are ignored. The classifier is trained on at most `sample` texts; every text is judged whole."""
+    an empty table gives no rows; further columns are ignored. The classifier is trained on at most `sample` texts; every text is judged whole, and
+    the characters that a restored word may hold are those of all clean texts."""
     spark = df.sparkSession
     model = train(training_sample(df, text, key, sample), garbled)
+    model.known |= inventory(df, text, model)
     shared = spark.sparkContext.broadcast(model.dump())  # (2 + 2 * len(CHAINS)) * 65,536 floats whatever the data
     kind = df.select(key).schema[0].dataType.simpleString()
 

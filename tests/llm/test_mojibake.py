@@ -4,6 +4,7 @@ import pytest
 
 from ocellus.llm.encodings import CHAINS, garble, restore
 from ocellus.llm.mojibake import find_garbled, repair, train
+from ocellus.llm.sampling import hash_sample
 from tests.llm.texts import corpus, text
 
 
@@ -57,3 +58,21 @@ def test_frame(spark):
     assert [r.n_passages > 0 for r in got if r.doc_id == 900 and r.garbled] == [True]
     assert find_garbled(df.limit(0)).collect() == []
     assert len(CHAINS) > 30
+
+
+def test_characters_that_the_sample_has_not(spark):
+    texts = dict(enumerate(t for _, t in corpus(5, 900)))
+    keys = spark.createDataFrame([(i,) for i in range(902)], "k bigint")
+    outside = sorted(set(range(900)) - {r.k for r in hash_sample(keys, "k", 300, 5).collect()})
+    rare = "两组眼压的变化与鼙鼓龃龉无关，差异无统计学意义。"
+    for i in outside[:3]:
+        texts[i] = "随访期间未见严重不良反应。" + rare
+    chain = (("gb18030", "latin-1"),)
+    texts[900] = garble(rare, chain)
+    for i in outside[3:6]:
+        texts[i] = "Die Öffnung war ÜBERALL gleich groß. " * 2
+    texts[outside[6]] = "随访期间未见严重不良反应…。请勿自行停药…，原因不明。"
+    df = spark.createDataFrame(list(texts.items()) + [(901, "鼙鼓")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in find_garbled(df, sample=300, garbled=100).collect()}
+    assert got[900].garbled and got[900].repaired == rare
+    assert not any(got[i].garbled for i in outside[:7])
