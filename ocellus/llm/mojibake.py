@@ -209,9 +209,10 @@ def restored(word: str, chain: int, model: Model) -> str | None:
     return "".join(out) if changed else None
 
 
-def judged(own: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+def judged(own: list[bytes], model: Model, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
     """(garbled, chain, restored word or None) of each word. The likeliest chain that can be inverted strictly, to a word that looks clean itself, is
-    taken; failing that, only a word that is certain counts."""
+    taken; failing that, only a word that is certain counts. A single Chinese character tells little: unless its score is high it is taken only where
+    the same chain restores another word of its text (owner has the number of each word's text)."""
     scores, least = model.judge(own)
     top = scores.max(axis=1)
     chain = scores.argmax(axis=1)
@@ -227,16 +228,23 @@ def judged(own: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, list
     found = top >= CERTAIN + np.where(least > CLEAR, CLEAR_LONG, 0)
     good = [x for x in tried if x[3].isascii() or len(x[3].split()) != 1]
     rest = [x for x in tried if not (x[3].isascii() or len(x[3].split()) != 1)]
+    lone: list[tuple[int, int, str, bytes]] = []
     if rest:
         after, _ = model.judge([x[3] for x in rest])
         floor = model.clean([x[3] for x in rest])
         for x, s, f in zip(rest, after.max(axis=1), floor, strict=True):
-            if CHAINS[x[1]][0][0] == "gb18030" and scores[x[0], x[1]] < 30 and sum("一" <= c <= "鿿" for c in x[2]) < 2:
+            if CHAINS[x[1]][0][0] == "gb18030" and scores[x[0], x[1]] < 30 and (n_han := sum("一" <= c <= "鿿" for c in x[2])) < 2:
+                if n_han and owner is not None and s < scores[x[0], x[1]]:
+                    lone.append(x)
                 continue
             if s < scores[x[0], x[1]] and (CHAINS[x[1]][0][0] != "cp1252" and CHAINS[x[1]][0][0] != "mac_roman" or f > UNSEEN):
                 good.append(x)
     for i, c, fixed, _ in sorted(good, key=lambda x: scores[x[0], x[1]]):
         found[i], back[i], chain[i] = True, fixed, c
+    sure = {(int(owner[i]), int(chain[i])) for i, x in enumerate(back) if x is not None} if lone else set()
+    for i, c, fixed, _ in sorted(lone, key=lambda x: scores[x[0], x[1]]):
+        if (int(owner[i]), c) in sure and (back[i] is None or chain[i] == c or scores[i, c] > scores[i, chain[i]]):
+            found[i], back[i], chain[i] = True, fixed, c
     for i, w in enumerate(own):
         if LOST[0] in w or LOST[1] in w:
             found[i] = True
@@ -251,7 +259,7 @@ def repair(texts: list[str | None], model: Model) -> list[tuple[bool, str | None
     out: list[tuple[bool, str | None, int, int, str | None]] = [(False, None, 0, 0, t) for t in texts]
     if not own:
         return out
-    found, chain, back = judged(own, model)
+    found, chain, back = judged(own, model, owner)
     for i in sorted(set(owner[found].tolist())):
         at = np.flatnonzero(owner == i) if len(texts) == 1 else np.arange(np.searchsorted(owner, i), np.searchsorted(owner, i, side="right"))
         bad = at[found[at]]

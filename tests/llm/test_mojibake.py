@@ -76,3 +76,11 @@ def test_characters_that_the_sample_has_not(spark):
     got = {r.doc_id: r for r in find_garbled(df, sample=300, garbled=100).collect()}
     assert got[900].garbled and got[900].repaired == rare
     assert not any(got[i].garbled for i in outside[:7])
+
+
+def test_a_single_chinese_character_beside_a_restored_passage(model):
+    chain = (("gb18030", "latin-1"),)
+    t = "两组眼压的变化无统计学意义 眼 a scan showed a thickness"
+    rows = repair([garble(t, chain), garble("眼", chain) + " a scan showed a thickness"], model)
+    assert rows[0][4] == t and rows[0][2] == rows[0][3] == 2
+    assert not rows[1][0]
