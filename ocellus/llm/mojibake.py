@@ -219,7 +219,7 @@ def judged(own: list[bytes], model: Model, owner: np.ndarray | None = None) -> t
     tried: list[tuple[int, int, str, bytes]] = []
     for i in np.flatnonzero(top >= least).tolist():
         word = own[i].decode()
-        for c in np.argsort(-scores[i])[:5].tolist():
+        for c in np.argsort(-scores[i]).tolist():
             if scores[i, c] < max(least[i], top[i] - 12):
                 break
             if (fixed := restored(word, c, model)) is not None:

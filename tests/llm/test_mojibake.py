@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from ocellus.llm.encodings import CHAINS, garble, restore
-from ocellus.llm.mojibake import find_garbled, repair, train
+from ocellus.llm.mojibake import CLEAR, Model, find_garbled, repair, restored, train
 from ocellus.llm.sampling import hash_sample
 from tests.llm.texts import corpus, text
 
@@ -84,3 +85,21 @@ def test_a_single_chinese_character_beside_a_restored_passage(model):
     rows = repair([garble(t, chain), garble("眼", chain) + " a scan showed a thickness"], model)
     assert rows[0][4] == t and rows[0][2] == rows[0][3] == 2
     assert not rows[1][0]
+
+
+def test_every_chain_within_the_window_is_tried():
+    word = garble("für", (("utf-8", "cp1252"),))
+    right = CHAINS.index((("utf-8", "cp1252"),))
+    wrong = [c for c in range(len(CHAINS)) if restored(word, c, Model(np.zeros((1, 1)))) is None][:6]
+
+    class Scored(Model):
+        def judge(self, own):
+            scores = np.zeros((len(own), len(CHAINS)))
+            for i in [i for i, w in enumerate(own) if w == word.encode()]:
+                scores[i, wrong], scores[i, right] = 20, 15
+            return scores, np.full(len(own), CLEAR)
+
+        def clean(self, own):
+            return np.zeros(len(own))
+
+    assert repair([word], Scored(np.zeros((1, 1))))[0][4] == "für"
