@@ -276,11 +276,12 @@ def near(a, b):
     return (distance <= 1) | ((distance == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-def resolve(df: DataFrame, column: str = "authors_display", rounds: int = 12) -> DataFrame:
+def resolve(df: DataFrame, column: str = "authors_display", rounds: int | None = None) -> DataFrame:
     """(name, entity) of each distinct name in the column; names of one author have the same entity, the least of their numbers.
 
     Null and empty cells have no names; items without letters are entities of their own; repeated strings are one; an empty table gives no
-    rows; further columns are ignored. `rounds` only bounds the iteration, which ends when nothing merges any more."""
+    rows; further columns are ignored. The iteration ends when nothing merges any more; each round leaves fewer entities. If that takes
+    more than `rounds`, where given, it is an error."""
     names = cut_lineage(distinct_names(df, column))
     syllables, flags = lexicon(names)
 
@@ -301,11 +302,13 @@ def resolve(df: DataFrame, column: str = "authors_display", rounds: int = 12) ->
     keyed = cut_lineage(flat.filter("type <> 'typo'").groupBy("id", "type", "key").agg(F.max("strong").alias("strong")))
     profiles = described.select("id", "weak", F.nullif("han", F.lit("")).alias("han"), F.nullif("middle", F.lit("")).alias("middle"))
     entity = cut_lineage(profiles.select("id", F.col("id").alias("e"), "weak", "han", "middle"))
-    for _ in range(rounds):
+    for done in itertools.count():
         links = blocked(keyed, entity).unionByName(typed(close, entity))
         least = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a"))
         if least.isEmpty():
             break
+        if rounds is not None and done >= rounds:
+            raise RuntimeError(f"names still merge after {rounds} rounds")
         hop = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("e"), F.coalesce("c", "b").alias("n"))  # longer chains are for the next round
         moved = entity.join(hop, "e", "left").select("id", F.coalesce("n", "e").alias("e"), "weak", "han", "middle")
         # the merged profile: what its members have

@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from ocellus.llm.names import fold, near, parse, resolve, splits, SYLLABLES, variant_pairs
 from pyspark.sql import functions as F
 
@@ -39,6 +41,13 @@ def test_more_recurring_tokens_than_any_limit(spark):
     assert len(set(entity.values())) == 3
 
 
+def test_merging_never_stops_silently(spark):
+    df = spark.createDataFrame([("Ottilie Tarlholm; Tarlholm Ottilie",)], "authors_display string")
+    with pytest.raises(RuntimeError):
+        resolve(df, rounds=0)
+    assert resolve(df, rounds=1).select("entity").distinct().count() == 1
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([(None,), ("",)], "authors_display string")
     assert resolve(df).collect() == []
