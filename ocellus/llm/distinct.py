@@ -8,6 +8,8 @@ Over days and types they are merged from pairs(), which is a set: a union of pai
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def pairs(events: DataFrame, buckets: int = 256) -> DataFrame:
     return lean.distinct().withColumn("bucket", F.pmod(F.xxhash64("visitor_id"), F.lit(buckets)).cast("int"))
 
 
+def merge_pairs(*parts: DataFrame) -> DataFrame:
+    """The pairs of all parts, made with as many buckets each: of days, types or sources that may overlap."""
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
+
+
 def bucket_counts(deduplicated: DataFrame) -> DataFrame:
     """(bucket, level, day, event_type, n_visitors): exact counts within each bucket."""
     at = deduplicated.repartition("bucket")  # every later step keeps to this partitioning

@@ -75,6 +75,10 @@ def p6_partials(spark: SparkSession, folder: str) -> DataFrame:
     return bucket_counts(pairs(table(spark, folder, "analytics_events")))
 
 
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs(table(spark, folder, "analytics_events"))
+
+
 def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return leximin(table(spark, folder, "paper_briefs")).select("search_event_id", "id", "rank")
 
@@ -119,6 +123,7 @@ QUERIES = {
     "p5_segments": p5_segments,
     "p6_distinct_visitors": p6_distinct_visitors,
     "p6_partials": p6_partials,
+    "p6_pairs": p6_pairs,
     "p7_found": p7_found,
     "p7_ranking": p7_ranking,
     "p8_ids": p8_ids,

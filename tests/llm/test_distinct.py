@@ -1,7 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
-from ocellus.llm.distinct import add_buckets, bucket_counts, distinct_visitors, pairs
+from ocellus.llm.distinct import add_buckets, bucket_counts, distinct_visitors, merge_pairs, pairs
+from ocellus.llm.queries import QUERIES
 
 SCHEMA = "visitor_id string, occurred_at timestamp_ntz, event_type string, bucket string"
 
@@ -41,5 +42,20 @@ def test_partial_results_merge(spark):
     assert read(add_buckets(low.unionByName(high))) == brute(rows)
 
 
+def test_pairs_merge_across_days_and_types(spark):
+    rows = make()
+    by_day_and_type = {}
+    for row in rows:
+        by_day_and_type.setdefault((row[1] and row[1].day, row[2]), []).append(row)
+    parts = [pairs(spark.createDataFrame(x, SCHEMA)) for x in by_day_and_type.values()]
+    assert len(parts) > 10
+    assert read(add_buckets(bucket_counts(merge_pairs(*parts, parts[0])))) == brute(rows)
+
+
+def test_pairs_are_a_query(spark, tmp_path):
+    spark.createDataFrame(make(), SCHEMA).write.parquet(str(tmp_path / "analytics_events.parquet"))
+    assert read(add_buckets(bucket_counts(QUERIES["p6_pairs"](spark, str(tmp_path))))) == brute(make())
+
+
 def test_empty(spark):
     assert distinct_visitors(spark.createDataFrame([], SCHEMA)).collect() == []
