@@ -295,8 +295,8 @@ def training_rows(df: DataFrame, sample: int, longest: int) -> list[tuple[str, s
     return [(r.text, r.label, r.field == "query") for r in hash_samples(lean, "field", FIELDS, "record_id", sample, 3).collect()]
 
 
-def broadcast_model(df: DataFrame, sample: int, garbled: int):
-    model = train(training_rows(df, sample, 4000), garbled)
+def broadcast_model(df: DataFrame, sample: int, garbled: int, longest: int):
+    model = train(training_rows(df, sample, longest), garbled)
     return df.sparkSession.sparkContext.broadcast(model.dump())  # orders * 65,536 * languages floats whatever the data
 
 
@@ -313,12 +313,13 @@ def blocks(batch: pa.RecordBatch, chars: int = PIECE) -> Iterator[tuple[int, int
             size += len(texts[b] or "")
 
 
-def text_languages(df: DataFrame, sample: int = 1500, garbled: int = 60) -> DataFrame:
+def text_languages(df: DataFrame, sample: int = 1500, garbled: int = 60, longest: int = 4000) -> DataFrame:
     """(field, record_id, label, languages array<struct<lang, confidence>>) of each row of (field, record_id, text, label), the main language first.
 
     Null, blank and letterless texts have no language. A language besides the main one must have a whole sentence (in a query a phrase of three words or
-    four Han characters). Repeated rows are labelled each; an empty table gives no rows; further columns are ignored."""
-    shared = broadcast_model(df, sample, garbled)
+    four Han characters). Repeated rows are labelled each; an empty table gives no rows; further columns are ignored.
+    The model is trained on the first `longest` characters of at most `sample` texts of each field; every text is judged whole."""
+    shared = broadcast_model(df, sample, garbled, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(shared.value)
@@ -332,9 +333,10 @@ def text_languages(df: DataFrame, sample: int = 1500, garbled: int = 60) -> Data
     return lean.mapInArrow(run, "field string, record_id bigint, label string, languages array<struct<lang: string, confidence: double>>")
 
 
-def text_segments(df: DataFrame, sample: int = 1500, garbled: int = 60) -> DataFrame:
-    """(field, record_id, segment_no, first_char, n_chars, lang, confidence) of each segment with letters; characters count from 0."""
-    shared = broadcast_model(df, sample, garbled)
+def text_segments(df: DataFrame, sample: int = 1500, garbled: int = 60, longest: int = 4000) -> DataFrame:
+    """(field, record_id, segment_no, first_char, n_chars, lang, confidence) of each segment with letters; characters count from 0.
+    Trained as text_languages()."""
+    shared = broadcast_model(df, sample, garbled, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(shared.value)

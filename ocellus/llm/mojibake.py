@@ -312,15 +312,15 @@ def unknown(text: str, model: Model) -> set[str]:
     return {c for c in set(text) - model.known if not c.isascii()}
 
 
-def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 3000, garbled: int = 700) -> DataFrame:
+def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 3000, garbled: int = 700, longest: int = 20_000) -> DataFrame:
     """(key, garbled, chain, n_passages, n_restored, repaired) of each row; chain is the one most of its garbled words went through.
 
     A text is garbled if one of its words is, or holds U+FFFD, which only a wrong decoding leaves; such a word counts even if it can't be restored. Words that
     can are restored in `repaired`, all else is left as it is. Null and empty texts are not garbled and stay as they are. Repeated rows are judged each;
-    an empty table gives no rows; further columns are ignored. The classifier is trained on at most `sample` texts; every text is judged whole, and
+    an empty table gives no rows; further columns are ignored. The classifier is trained on the first `longest` characters of at most `sample` texts; every text is judged whole, and
     the characters that a restored word may hold are those of all clean texts."""
     spark = df.sparkSession
-    model = train(training_sample(df, text, key, sample), garbled)
+    model = train(training_sample(df, text, key, sample, longest), garbled)
     model.known |= inventory(df, text, model)
     shared = spark.sparkContext.broadcast(model.dump())  # (2 + 2 * len(CHAINS)) * 65,536 floats whatever the data
     kind = df.select(key).schema[0].dataType.simpleString()

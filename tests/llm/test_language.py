@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from ocellus.llm import language
 from ocellus.llm.encodings import garble
 from ocellus.llm.language import affected, language_of, languages_of, text_languages, text_segments, train
 from tests.llm.texts import SENTENCES, corpus, text
@@ -82,3 +83,10 @@ def test_long_texts_are_taken_in_pieces(model, monkeypatch):
     assert [[x for x, _ in b[0]] for b in before] == [[x for x, _ in a[0]] for a in after]
     s, lengths, *_ = language.segments_of([texts[0]], np.array([False]), model)
     assert lengths.sum() == len(texts[0]) and (np.diff(s.offset) > 0).all()
+
+
+def test_the_length_of_training_texts_is_a_parameter(spark, monkeypatch):
+    seen, own = [], language.training_rows
+    monkeypatch.setattr(language, "training_rows", lambda *a: seen.append(own(*a)) or seen[-1])
+    language.text_languages(spark.createDataFrame([("document", 1, "abc " * 50, "en")], "field string, record_id bigint, text string, label string"), longest=40)
+    assert [len(r[0]) for r in seen[0]] == [40]

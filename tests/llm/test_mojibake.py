@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from ocellus.llm import mojibake
 from ocellus.llm.encodings import CHAINS, garble, restore
 from ocellus.llm.mojibake import CLEAR, Model, find_garbled, repair, restored, train
 from ocellus.llm.sampling import hash_sample
@@ -103,3 +104,10 @@ def test_every_chain_within_the_window_is_tried():
             return np.zeros(len(own))
 
     assert repair([word], Scored(np.zeros((1, 1))))[0][4] == "für"
+
+
+def test_the_length_of_training_texts_is_a_parameter(spark, monkeypatch):
+    seen, own = [], mojibake.training_sample
+    monkeypatch.setattr(mojibake, "training_sample", lambda *a: seen.append(own(*a)) or seen[-1])
+    mojibake.find_garbled(spark.createDataFrame([(1, "aé " * 50)], "doc_id bigint, text string"), longest=40)
+    assert [len(r) for r in seen[0]] == [40]
