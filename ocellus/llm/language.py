@@ -292,7 +292,7 @@ FIELDS = ("title", "abstract", "query", "document")
 def training_rows(df: DataFrame, sample: int, longest: int) -> list[tuple[str, str | None, bool]]:
     """At most `sample` texts of each of FIELDS, those of least key hash; of longer ones the first `longest` characters. For training only."""
     lean = df.filter("length(text) > 0").select("field", "record_id", F.substring("text", 1, longest).alias("text"), "label")
-    return [(r.text, r.label, r.field == "query") for r in hash_samples(lean, "field", FIELDS, "record_id", sample, 3).collect()]
+    return [(r.text, r.label, r.field == "query") for r in hash_samples(lean, "field", FIELDS, "record_id", sample, 3)]
 
 
 def broadcast_model(df: DataFrame, sample: int, garbled: int, longest: int):

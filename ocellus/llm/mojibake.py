@@ -1,9 +1,10 @@
 """Texts that were decoded with a wrong encoding.
 
 A multinomial classifier over hashed byte bigrams tells clean words from words garbled by one of the chains of
-encodings.py. It is trained on clean texts of the table itself, garbled synthetically by every chain. A word is what lies
-between ASCII white space; one without a character beyond ASCII can't be garbled. Short words are judged whole; long ones (text
-without spaces) by their best stretch. The predicted chain is inverted and must decode strictly; then the word is restored.
+encodings.py, and from words that lost characters for good. It is trained on clean texts of the table itself, garbled synthetically by
+every chain. A word is what lies between ASCII white space; one without a character beyond ASCII can't be garbled. A word's score under a chain is
+the best sum of log-likelihood ratios that a stretch of its bigrams reaches. The predicted chain is inverted and must decode strictly; how often
+the table has the restored word and the word as it is, counted over all texts, enters as further log-likelihood ratio; then the word is restored.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import functools
 import io
 import itertools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,21 @@ from ocellus.llm.encodings import CHAINS, SINGLE, garble, name, numbers, restore
 from ocellus.llm.sampling import hash_sample
 
 BITS = 16
-LONG_WORD = 72  # bytes; longer words are judged by their best stretch
-CLEAR, CLEAR_LONG = 7.0, 14.0  # log-likelihood ratios from which a word counts as garbled if its chain can be inverted
-CERTAIN = 40.0  # and from which it does without
+WORD_BITS = 20  # of the hashed counts of words
+LOST_CLASS = len(CHAINS)  # the class after the chains: words with lost characters
+PRIOR = 6.0  # nats: log-odds against a given word being garbled, one word in 400
+STRONGEST = 7.0  # nats that counts of words may add or take
+CERTAIN = 40.0  # what a word that no chain restores must reach beyond PRIOR: five bigrams at the limit of 8 nats each that a single one may give
 PURGE = 60.0  # words of a training text that reach this together, or turn back into UTF-8, keep it from being an example of clean text
-UNSEEN = -15.5  # the log-probability under which clean words don't have a bigram
-RAISED = re.compile("[a-zß-ÿ][À-Þ]")  # a capital within a word: no accent was lost there
+UNSEEN = -15.5  # 1.8e-7, between the 1e-8 that a bigram of no class has and one sight among the bigrams of a sample; clean words have none below
+RAISED = re.compile("[a-zß-ÿ][À-Þ]|[À-Þ][A-Z][a-z]")  # a capital within a word: no accent was lost there
 LATIN, CJK = "A-Za-zÀ-ÖØ-öø-ɏ", "\u3000-\u303f\u3400-\u9fff\uff00-\uffef"
-ALONE = re.compile(f"(?<=[{CJK}])[{LATIN[6:]}](?![{LATIN}])|(?<![{LATIN}])[{LATIN[6:]}](?=[{CJK}])")  # an accented letter beside Chinese, of no word: a sign of Chinese texts that was taken for one
-LOST = ("�".encode(), "ï¿½".encode())  # a lost character, and one that was decoded wrongly once more
+HAS_CJK = re.compile(f"[{CJK}]")
+LETTERS = re.compile(f"[{LATIN}]{{4,}}")  # a word of another script within Chinese text; shorter ones are units and signs
+LOST = ("�", "ï¿½")  # a lost character, and one that was decoded wrongly once more
+GONE = tuple(x.encode() for x in LOST)
+BEYOND = re.compile(r"[^\x00-\x7f]+")
+ORDINARY = re.compile("[\u00a0-\u017f\u0300-\u036f\u0391-\u03c9\u2000-\u27bf\ufeff\U0001f000-\U0001faff" + CJK + "]*")  # what the texts are written with
 
 
 def words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
@@ -49,13 +57,18 @@ def words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
 
 
 def bigrams(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte bigrams of all words with a space at either end, and where each word's bigrams begin; a word of n bytes has n + 1."""
+    """Hashed byte bigrams of all words with a space at either end, and where each word's bigrams begin; a word of n bytes has n + 1. Lost characters
+    are bytes of their own, which UTF-8 never has."""
+    if any(x in w for w in own for x in GONE):
+        own = [w.replace(GONE[0], b"\xff").replace(GONE[1], b"\xfe") for w in own]
     data = np.frombuffer(b" " + b" ".join(own) + b" ", np.uint8).astype(np.int64)
     lengths = np.fromiter(map(len, own), np.int64, len(own)) + 1
     return (data[:-1] << 8 | data[1:]) & ((1 << BITS) - 1), np.cumsum(lengths) - lengths
 
 
 ASCII_ONLY = np.array([(g >> 8) < 128 and (g & 255) < 128 for g in range(1 << BITS)])
+OF_LOST = np.array([(g >> 8) >= 0xFE or (g & 255) >= 0xFE for g in range(1 << BITS)])
+LIMIT = np.where(OF_LOST, 16, 8).astype(np.float32)  # what one bigram may say: one unseen in the sample may yet be clean, a lost character isn't
 
 
 def counted(own: list[bytes]) -> np.ndarray:
@@ -67,6 +80,8 @@ def counted(own: list[bytes]) -> np.ndarray:
 
 def wide(own: list[bytes]) -> np.ndarray:
     """Which words hold a character of the CJK blocks (lead bytes E3 to E9)."""
+    if not own:
+        return np.zeros(0, bool)
     grams, begin = bigrams(own)
     lead = grams & 255
     return np.add.reduceat(((lead >= 0xE3) & (lead <= 0xE9)).astype(np.int64), begin) > 0
@@ -77,80 +92,124 @@ def parted(own: list[bytes], by: np.ndarray) -> list[np.ndarray]:
     return [counted([w for w, x in zip(own, by.tolist(), strict=True) if x == side]) for side in (False, True)]
 
 
+def word_bucket(word: bytes) -> int:
+    return zlib.crc32(word) >> (32 - WORD_BITS)
+
+
+def running(gain: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """At each bigram the best sum of a stretch that ends there, within its word; gains are within LIMIT."""
+    lengths = np.diff(np.r_[begin, len(gain)])
+    total = np.cumsum(gain, dtype=np.float64)
+    total -= np.repeat(total[begin] - gain[begin] + np.arange(len(begin)) * (40.0 * (lengths.max() + 1)), lengths)  # each word's sums lie below those before it
+    return total - np.minimum.accumulate(total - gain)
+
+
 @dataclass
 class Model:
-    """logs[k]: the log-probability of each bigram in class k: clean words without and with CJK characters, then each chain from words without and with."""
+    """logs[k]: the log-probability of each bigram in class k: clean words without and with CJK characters, then of each chain, and of lost characters, in words
+    without and with."""
 
     logs: np.ndarray
     known: frozenset[str] = frozenset()  # characters beyond ASCII of clean words
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(1 << WORD_BITS, np.uint32))  # texts with a word, by hash
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, logs=self.logs, known=np.array([ord(c) for c in sorted(self.known)], np.uint32))
+        np.savez(out, logs=self.logs, known=np.array([ord(c) for c in sorted(self.known)], np.uint32), counts=self.counts)
         return out.getvalue()
 
     @staticmethod
     def load(data: bytes) -> Model:
         x = np.load(io.BytesIO(data))
-        return Model(x["logs"], frozenset(map(chr, x["known"].tolist())))
+        return Model(x["logs"], frozenset(map(chr, x["known"].tolist())), x["counts"])
 
     @staticmethod
     def of(classes: list[np.ndarray], known: frozenset[str]) -> Model:
-        """Shares mixed with a little of the mean of all classes, so a bigram that no class has says nothing."""
+        """Shares mixed with a little of the mean of all classes, so a bigram that no class has says nothing. Only clean words get none of lost characters."""
         shares = [c / max(c.sum(), 1) for c in classes]
         ground = 0.01 * np.mean(shares, axis=0) + 1e-8
         logs = np.array([np.log(0.99 * s + ground) if c.sum() else np.full(1 << BITS, -30.0) for s, c in zip(shares, classes, strict=True)], np.float32)
+        logs[:2, OF_LOST] = np.log(1e-8)
         logs[:, ASCII_ONLY] = 0
         return Model(logs, known)
 
+    @functools.cached_property
+    def most(self) -> np.ndarray:
+        """The greatest gain that each bigram has in any class, against clean words without and with CJK characters."""
+        return np.clip(self.logs[2:].max(axis=0) - self.sound, -LIMIT, LIMIT)
+
+    @functools.cached_property
+    def sound(self) -> np.ndarray:
+        """The log-probability of each bigram in clean words without CJK characters, and in those with: these hold words of other scripts as well."""
+        return np.array([self.logs[0], self.logs[:2].max(axis=0)])
+
     def judge(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, least): for each word and chain the log-likelihood ratio against clean words, and what it must reach. Of a long word the
-        best stretch counts."""
+        """(scores, least): for each word and class the best sum of log-likelihood ratios against clean words that a stretch of its bigrams has, 0 where it
+        can't come near what it must reach, which is `least`: the prior and the logarithm of the number of stretches among which the best was chosen."""
         grams, begin = bigrams(own)
         lengths = np.diff(np.r_[begin, len(grams)])
+        least = PRIOR + np.log(lengths * (lengths + 1) / 2)
+        scores = np.zeros((len(own), LOST_CLASS + 1))
         cjk = wide(own)
-        base = np.where(np.repeat(cjk, lengths), self.logs[1][grams], self.logs[0][grams])
-        long_ = np.flatnonzero(lengths > LONG_WORD + 1)
-        if len(long_):
-            inside = np.zeros(len(grams) + 1, np.int32)
-            inside[begin[long_]] += 1
-            inside[begin[long_] + lengths[long_]] -= 1
-            held = np.flatnonzero(np.cumsum(inside[:-1]))
-            at = np.cumsum(lengths[long_]) - lengths[long_]
-            shift = np.repeat(np.arange(len(long_)), lengths[long_]) * (40.0 * (lengths[long_].max() + 1))  # sets each word's sums apart from those before it
-        scores = np.empty((len(own), len(CHAINS)))
-        for c in range(len(CHAINS)):
-            for k in (2 + 2 * c, 3 + 2 * c):
-                gain = np.clip(self.logs[k][grams] - base, -8, 8).astype(np.float64)
-                score = np.add.reduceat(gain, begin)
-                if len(long_):
-                    own_gain = gain[held]
-                    total = np.cumsum(own_gain)
-                    total = total - np.repeat(total[at] - own_gain[at], lengths[long_]) - shift
-                    score[long_] = np.maximum.reduceat(total - np.minimum.accumulate(total - own_gain), at)
-                scores[:, c] = score if k % 2 == 0 else np.maximum(scores[:, c], score)
-        return scores, np.where(lengths > LONG_WORD + 1, CLEAR_LONG, CLEAR)
+        side = np.repeat(cjk, lengths).astype(np.int64)
+        best = running(self.most[side, grams], begin)
+        # a stretch that reaches the least in some class lies between two zeros of the best sums of the greatest gains, and its part there reaches it as well
+        fresh = best <= self.most[side, grams]
+        fresh[begin] = True
+        at = np.flatnonzero(fresh)
+        owner = np.repeat(np.arange(len(own)), lengths)[at]
+        peak = np.maximum.reduceat(best, at) if len(at) else at
+        keep = peak >= least[owner] - STRONGEST
+        ends = np.r_[at[1:], len(grams)]
+        at, ends, owner = at[keep], ends[keep], owner[keep]
+        if not len(at):
+            return scores, least
+        size = ends - at
+        first = np.cumsum(size) - size
+        held = np.repeat(at - first, size) + np.arange(size.sum())
+        grams, side = grams[held], side[held]
+        base, limit = self.sound[side, grams], LIMIT[grams]
+        words_at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for k in range(2, len(self.logs)):
+            gain = np.clip(self.logs[k][grams] - base, -limit, limit)
+            score = np.maximum.reduceat(np.maximum.reduceat(running(gain, first), first), words_at)
+            c = (k - 2) // 2
+            if c == LOST_CLASS:
+                score = np.where(cjk[owner[words_at]] == k % 2, score, 0)  # against clean words of its own kind
+            scores[owner[words_at], c] = np.maximum(scores[owner[words_at], c], score)
+        return scores, least
 
     def clean(self, own: list[bytes]) -> np.ndarray:
         """The log-probability of each word's least likely bigram among clean words."""
         grams, begin = bigrams(own)
-        return np.minimum.reduceat(np.maximum(self.logs[0], self.logs[1])[grams], begin)
+        return np.minimum.reduceat(self.sound[1][grams], begin)
+
+    def evidence(self, word: bytes, fixed: bytes) -> float:
+        """What the counts of a word and of what it would be restored to say for the latter; the word itself is one of its count."""
+        ratio = np.log((self.counts[word_bucket(fixed)] + 1.0) / max(self.counts[word_bucket(word)], 1.0))
+        return float(np.clip(ratio, -STRONGEST, STRONGEST))
 
 
 def suspicious(text: str) -> bool:
-    """Sure signs of garbling, to keep such texts out of the first training: lost characters, or words that some single-byte reading turns back into UTF-8."""
-    if "�" in text or "ï¿½" in text:
+    """Sure signs of garbling, to keep such texts out of the first training: lost characters, or neighbouring characters that some single-byte reading turns
+    back into UTF-8 of ordinary characters. Elsewhere a decoding says nothing: of the apostrophe and accent in "l’étude" one reading makes an Armenian letter."""
+    if any(x in text for x in LOST):
         return True
-    for w in text.split():
-        if not w.isascii():
-            core = "".join(c for c in w if not c.isascii())
-            for wrong in SINGLE:
-                back = restore(core, (("utf-8", wrong),))
-                if back is not None and back != core:
+    for m in BEYOND.finditer(text):
+        for wrong in SINGLE:
+            back = restore(m.group(), (("utf-8", wrong),))
+            if back is not None and back != m.group() and ORDINARY.fullmatch(back):
+                if not (HAS_CJK.search(back) and (text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha())):
                     return True
     return False
 
 
+def lossy(own: list[bytes]) -> list[bytes]:
+    """Words with their first character beyond ASCII lost, as such and decoded wrongly once more."""
+    first = [BEYOND.sub(lambda m: LOST[0] + m.group()[1:], w.decode(), count=1) for w in own]
+    return [x.encode() for w in [*first, LOST[0]] for x in (w, w.replace(*LOST))]
+
+
 def train(texts: list[str], garbled: int) -> Model:
     """From texts of the table, some of them garbled: first without those that show sure signs, then without all that the first model finds. The first
     `garbled` clean texts are garbled by each chain."""
@@ -159,14 +218,12 @@ def train(texts: list[str], garbled: int) -> Model:
     for _ in range(2):
         own, owner = words(clean)
         if model is not None and own:
-            found, chain, back = judged(own, model)
-            weight = np.where(found, model.judge(own)[0].max(axis=1), 0)
-            sure = np.array([found[i] and back[i] is not None and CHAINS[chain[i]][0][0] == "utf-8" for i in range(len(own))], bool)
-            bad = set(np.flatnonzero(np.bincount(owner, weight + 2 * PURGE * sure) > PURGE).tolist())
+            np.add.at(model.counts, [word_bucket(w) for w in own], 1)
+            found = judged(list(dict.fromkeys(own)), model)
+            weights = np.array([found[w].score * (1 + (found[w].back is not None and CHAINS[found[w].chain][0][0] == "utf-8") * PURGE) if w in found and found[w].garbled else 0.0 for w in own])
+            bad = set(np.flatnonzero(np.bincount(owner, weights) > PURGE).tolist())
             clean = [t for i, t in enumerate(clean) if i not in bad]
             own, owner = words(clean)
-        if not own:
-            return Model(np.full((2 + 2 * len(CHAINS), 1 << BITS), 0, np.float32))
         classes = parted(own, wide(own))
         base = words([t for t in clean if not t.isascii()][:garbled])[0]
         sides = [[w for w, x in zip(base, wide(base).tolist(), strict=True) if x == side] for side in (False, True)]
@@ -177,6 +234,9 @@ def train(texts: list[str], garbled: int) -> Model:
                 kept = set(side)  # a word that the chain leaves as it is, is no example of it
                 made = words([garble(b" ".join(side).decode(), chain)])[0]
                 classes.append(counted([w for w in made if w not in kept]))
+        for clear, side in zip(classes[:2], sides, strict=True):  # like clean words but for the lost characters
+            gone = np.where(OF_LOST, counted(lossy(side)), 0)
+            classes.append(clear + gone + OF_LOST * gone.sum() / 2000)
         seen = Counter(b"".join(own).decode())
         model = Model.of(classes, frozenset(c for c, n in seen.items() if n > 1 and not c.isascii()))
     return model
@@ -204,108 +264,163 @@ def restored(word: str, chain: int, model: Model) -> str | None:
             out.append(back)
         else:
             out.append(x)
-    if changed and steps[0][0] in ("cp1252", "mac_roman") and ALONE.search("".join(out)):
+    if changed and steps[0][0] in ("cp1252", "mac_roman") and HAS_CJK.search(word) and not any(a != b and LETTERS.search(b) for a, b in zip(parts, out, strict=True)):
         return None
     return "".join(out) if changed else None
 
 
-def judged(own: list[bytes], model: Model, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
-    """(garbled, chain, restored word or None) of each word. The likeliest chain that can be inverted strictly, to a word that looks clean itself, is
-    taken; failing that, only a word that is certain counts. A single Chinese character tells little: unless its score is high it is taken only where
-    the same chain restores another word of its text (owner has the number of each word's text)."""
+@dataclass
+class Verdict:
+    garbled: bool
+    chain: int
+    back: str | None  # the restored word
+    score: float
+    alone: tuple[int, str] | None = None  # a chain and what it makes of the word, to be taken where it restores another word of the text
+
+
+def judged(own: list[bytes], model: Model) -> dict[bytes, Verdict]:
+    """The verdict on each of the distinct words that may be garbled. Of the chains that can be inverted strictly, to a word that looks clean itself, that of the highest score with the
+    counts' evidence is taken; failing that, only a word that is certain counts, or one that lost characters, which no chain restores. A single Chinese character
+    tells little: unless its score is high it is left to the other words of its text."""
+    out: dict[bytes, Verdict] = {}
+    if not own:
+        return out
     scores, least = model.judge(own)
-    top = scores.max(axis=1)
-    chain = scores.argmax(axis=1)
-    tried: list[tuple[int, int, str, bytes]] = []
-    for i in np.flatnonzero(top >= least).tolist():
+    top = scores[:, :LOST_CLASS].max(axis=1)
+    tried: list[tuple[int, int, str, bytes, float]] = []
+    for i in np.flatnonzero(np.maximum(top, scores[:, LOST_CLASS]) >= least - STRONGEST).tolist():
         word = own[i].decode()
-        for c in np.argsort(-scores[i]).tolist():
-            if scores[i, c] < max(least[i], top[i] - 12):
+        for c in np.argsort(-scores[i, :LOST_CLASS]).tolist():
+            if scores[i, c] < max(least[i] - STRONGEST, top[i] - 12):
                 break
             if (fixed := restored(word, c, model)) is not None:
-                tried.append((i, c, fixed, fixed.encode()))
-    back: list[str | None] = [None] * len(own)
-    found = top >= CERTAIN + np.where(least > CLEAR, CLEAR_LONG, 0)
+                data = fixed.encode()
+                if (score := scores[i, c] + model.evidence(own[i], data)) >= least[i]:
+                    tried.append((i, c, fixed, data, score))
+        if scores[i, LOST_CLASS] >= least[i] or top[i] >= PRIOR + CERTAIN:
+            out[own[i]] = Verdict(True, int(scores[i].argmax()), None, float(scores[i].max()))
     good = [x for x in tried if x[3].isascii() or len(x[3].split()) != 1]
     rest = [x for x in tried if not (x[3].isascii() or len(x[3].split()) != 1)]
-    lone: list[tuple[int, int, str, bytes]] = []
+    lone = []
     if rest:
         after, _ = model.judge([x[3] for x in rest])
         floor = model.clean([x[3] for x in rest])
         for x, s, f in zip(rest, after.max(axis=1), floor, strict=True):
-            if CHAINS[x[1]][0][0] == "gb18030" and scores[x[0], x[1]] < 30 and (n_han := sum("一" <= c <= "鿿" for c in x[2])) < 2:
-                if n_han and owner is not None and s < scores[x[0], x[1]]:
-                    lone.append(x)
+            written = CHAINS[x[1]][0][0]
+            if s >= scores[x[0], x[1]]:
                 continue
-            if s < scores[x[0], x[1]] and (CHAINS[x[1]][0][0] != "cp1252" and CHAINS[x[1]][0][0] != "mac_roman" or f > UNSEEN):
+            if written == "gb18030" and scores[x[0], x[1]] < 30 and (n_han := sum("一" <= c <= "鿿" for c in x[2])) < 2:
+                if n_han:
+                    lone.append(x)
+            elif written not in ("cp1252", "mac_roman") or f > UNSEEN:
                 good.append(x)
-    for i, c, fixed, _ in sorted(good, key=lambda x: scores[x[0], x[1]]):
-        found[i], back[i], chain[i] = True, fixed, c
-    sure = {(int(owner[i]), int(chain[i])) for i, x in enumerate(back) if x is not None} if lone else set()
-    for i, c, fixed, _ in sorted(lone, key=lambda x: scores[x[0], x[1]]):
-        if (int(owner[i]), c) in sure and (back[i] is None or chain[i] == c or scores[i, c] > scores[i, chain[i]]):
-            found[i], back[i], chain[i] = True, fixed, c
-    for i, w in enumerate(own):
-        if LOST[0] in w or LOST[1] in w:
-            found[i] = True
-    return found, chain, back
+    for i, c, fixed, _, score in sorted(good, key=lambda x: x[4]):
+        out[own[i]] = Verdict(True, c, fixed, score)
+    for i, c, fixed, _, score in sorted(lone, key=lambda x: x[4]):
+        if own[i] not in out:
+            out[own[i]] = Verdict(False, c, None, score)
+        if out[own[i]].back is None:
+            out[own[i]].alone = (c, fixed)
+    return out
 
 
 REPAIRED = "garbled boolean, chain string, n_passages int, n_restored int, repaired string"
 
 
 def repair(texts: list[str | None], model: Model) -> list[tuple[bool, str | None, int, int, str | None]]:
+    """(garbled, chain, passages, those restored, repaired text) of each text. Every distinct word is judged once."""
     own, owner = words(texts)
     out: list[tuple[bool, str | None, int, int, str | None]] = [(False, None, 0, 0, t) for t in texts]
-    if not own:
+    found = judged(list(dict.fromkeys(own)), model)
+    if not found:
         return out
-    found, chain, back = judged(own, model, owner)
-    for i in sorted(set(owner[found].tolist())):
-        at = np.flatnonzero(owner == i) if len(texts) == 1 else np.arange(np.searchsorted(owner, i), np.searchsorted(owner, i, side="right"))
-        bad = at[found[at]]
-        number = np.bincount(chain[bad]).argmax()
-        data, done = texts[i].encode("utf-8", "replace"), 0
-        parts, end = [], 0
-        for j in bad.tolist():
-            begin = data.index(own[j], end)
-            fixed = back[j]
-            parts += [data[end:begin], own[j] if fixed is None else fixed.encode()]
-            end, done = begin + len(own[j]), done + (fixed is not None)
+    bad: dict[int, list[bytes]] = {}
+    for w, i in zip(own, owner.tolist(), strict=True):
+        if w in found:
+            bad.setdefault(i, []).append(w)
+    for i, held in bad.items():
+        sure = {found[w].chain for w in held if found[w].back is not None}
+        fixes = []
+        for w in held:
+            v = found[w]
+            if v.alone and v.alone[0] in sure:
+                fixes.append((w, *v.alone))
+            elif v.garbled:
+                fixes.append((w, v.chain, v.back))
+        if not fixes:
+            continue
+        data, done, parts, end = texts[i].encode("utf-8", "replace"), 0, [], 0
+        for w, _, fixed in fixes:
+            begin = standing(data, w, end)
+            parts += [data[end:begin], w if fixed is None else fixed.encode()]
+            end, done = begin + len(w), done + (fixed is not None)
         parts.append(data[end:])
-        out[i] = (True, name(CHAINS[number]), len(bad), done, b"".join(parts).decode())
+        number = Counter(c for _, c, _ in fixes).most_common(1)[0][0]
+        out[i] = (True, "lost" if number == LOST_CLASS else name(CHAINS[number]), len(fixes), done, b"".join(parts).decode())
     return out
 
 
+def standing(data: bytes, word: bytes, begin: int) -> int:
+    """Where a word next stands between white space or ends of the text, not as part of another."""
+    at = data.index(word, begin)
+    while (at and not data[at - 1 : at].isspace()) or not (data[at + len(word) : at + len(word) + 1] or b" ").isspace():
+        at = data.index(word, at + 1)
+    return at
+
+
 def training_sample(df: DataFrame, text: str, key: str, sample: int, longest: int = 20_000) -> list[str]:
     """The `sample` texts of least key hash, of longer ones the first `longest` characters: a bounded sample for training only."""
     rows = hash_sample(df.filter(F.length(text) > 0).select(F.substring(text, 1, longest).alias("t"), F.col(key).alias("k")), "k", sample, 5)
-    return [r.t for r in rows.collect()]
+    return [r.t for r in rows]
 
 
-def inventory(df: DataFrame, text: str, model: Model) -> frozenset[str]:
-    """The characters beyond ASCII that clean texts of the whole table hold twice or more, besides those the model knows: counted in the words with such a
-    character, of texts without sure signs of garbling in which the model finds none of these words garbled."""
+def census(texts: list[str | None], model: Model, counts: np.ndarray) -> Counter[str]:
+    """Adds the texts with each word to counts, by hash of the word. Gives the characters beyond ASCII that the model doesn't know, counted in texts without sure signs of
+    garbling in which the model finds none of the words with such a character garbled."""
+    seen: Counter[str] = Counter()
+    own, owner = words(texts)
+    if not own:
+        return seen
+    numbers_: dict[bytes, int] = {}
+    at = np.array([numbers_.setdefault(w, len(numbers_)) for w in own], np.int64)
+    buckets = np.fromiter(map(word_bucket, numbers_), np.int64, len(numbers_))
+    once = np.unique(owner * len(numbers_) + at) % len(numbers_)
+    np.add.at(counts, buckets[once], 1)
+    odd = {w: unknown(w.decode(), model) for w in numbers_}
+    odd = {w: x for w, x in odd.items() if x}
+    if not odd:
+        return seen
+    bad = {w for w, v in judged(list(odd), model).items() if v.garbled}
+    by_text: dict[int, list[bytes]] = {}
+    for w, i in zip(own, owner.tolist(), strict=True):
+        if w in odd:
+            by_text.setdefault(i, []).append(w)
+    for i, held in by_text.items():
+        if bad.isdisjoint(held) and not suspicious(texts[i]):
+            seen.update(c for w in held for c in w.decode() if c in odd[w])
+    return seen
+
+
+def with_census(df: DataFrame, text: str, model: Model) -> Model:
+    """The model with the counts of words over the whole table, and with the characters that clean texts of it hold twice or more. At most 2 ** WORD_BITS counts
+    and as many characters as there are code points reach the driver, whatever the data."""
     shared = df.sparkSession.sparkContext.broadcast(model.dump())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(shared.value)
+        own, counts, seen = loaded(shared.value), np.zeros(1 << WORD_BITS, np.int64), Counter()
         for batch in batches:
-            seen: Counter[str] = Counter()
             texts = batch.column(0).to_pylist()
             for a, b in blocks(texts, 500_000):
-                new = [None if not t or t.isascii() or not (odd := unknown(t, own)) else " ".join(w for w in t.split() if not odd.isdisjoint(w)) for t in texts[a:b]]
-                odd_words, owner = words(new)
-                if not odd_words:
-                    continue
-                bad = set(owner[judged(odd_words, own)[0]].tolist())
-                for i in sorted(set(owner.tolist()) - bad):
-                    if not suspicious(texts[a + i]):
-                        odd = unknown(new[i], own)
-                        seen.update(c for c in new[i] if c in odd)
-            yield pa.RecordBatch.from_arrays([pa.array(map(ord, seen), pa.int32()), pa.array(seen.values(), pa.int64())], names=["code", "n"])
+                seen.update(census(texts[a:b], own, counts))
+        at = np.flatnonzero(counts)
+        numbers_ = np.r_[at, -1 - np.array([ord(c) for c in seen], np.int64)]  # characters as negative numbers
+        yield pa.RecordBatch.from_arrays([pa.array(numbers_.astype(np.int32)), pa.array(np.r_[counts[at], np.array(list(seen.values()), np.int64)])], names=["code", "n"])
 
-    counts = df.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).filter("n > 1")
-    return frozenset(chr(r.code) for r in counts.collect())  # at most as many as there are code points
+    rows = df.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    counts = np.zeros(1 << WORD_BITS, np.uint32)
+    counts[code[code >= 0]] = np.minimum(n[code >= 0], np.iinfo(np.uint32).max)
+    return Model(model.logs, model.known | frozenset(chr(-1 - c) for c in code[code < 0].tolist()), counts)
 
 
 def unknown(text: str, model: Model) -> set[str]:
@@ -313,16 +428,15 @@ def unknown(text: str, model: Model) -> set[str]:
 
 
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 3000, garbled: int = 700, longest: int = 20_000) -> DataFrame:
-    """(key, garbled, chain, n_passages, n_restored, repaired) of each row; chain is the one most of its garbled words went through.
+    """(key, garbled, chain, n_passages, n_restored, repaired) of each row; chain is the one most of its garbled words went through, or "lost" where
+    characters are lost for good.
 
-    A text is garbled if one of its words is, or holds U+FFFD, which only a wrong decoding leaves; such a word counts even if it can't be restored. Words that
-    can are restored in `repaired`, all else is left as it is. Null and empty texts are not garbled and stay as they are. Repeated rows are judged each;
+    A text is garbled if one of its words is. Words that can be are restored in `repaired`, all else is left as it is. Null and empty texts are not garbled and stay as they are. Repeated rows are judged each;
     an empty table gives no rows; further columns are ignored. The classifier is trained on the first `longest` characters of at most `sample` texts; every text is judged whole, and
-    the characters that a restored word may hold are those of all clean texts."""
+    the characters that a restored word may hold, and the counts of words, are those of the whole table."""
     spark = df.sparkSession
-    model = train(training_sample(df, text, key, sample, longest), garbled)
-    model.known |= inventory(df, text, model)
-    shared = spark.sparkContext.broadcast(model.dump())  # (2 + 2 * len(CHAINS)) * 65,536 floats whatever the data
+    model = with_census(df, text, train(training_sample(df, text, key, sample, longest), garbled))
+    shared = spark.sparkContext.broadcast(model.dump())  # (4 + 2 * len(CHAINS)) * 65,536 floats and 2 ** WORD_BITS counts whatever the data
     kind = df.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

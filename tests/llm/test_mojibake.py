@@ -5,8 +5,7 @@ import pytest
 
 from ocellus.llm import mojibake
 from ocellus.llm.encodings import CHAINS, garble, restore
-from ocellus.llm.mojibake import CLEAR, Model, find_garbled, repair, restored, train
-from ocellus.llm.sampling import hash_sample
+from ocellus.llm.mojibake import LOST_CLASS, Model, find_garbled, repair, restored, suspicious, train
 from tests.llm.texts import corpus, text
 
 
@@ -62,10 +61,14 @@ def test_frame(spark):
     assert len(CHAINS) > 30
 
 
-def test_characters_that_the_sample_has_not(spark):
+def test_characters_that_the_sample_has_not(spark, monkeypatch):
     texts = dict(enumerate(t for _, t in corpus(5, 900)))
-    keys = spark.createDataFrame([(i,) for i in range(902)], "k bigint")
-    outside = sorted(set(range(900)) - {r.k for r in hash_sample(keys, "k", 300, 5).collect()})
+    own = mojibake.training_sample
+    seen = []
+    monkeypatch.setattr(mojibake, "training_sample", lambda *a: seen.append(own(*a)) or seen[-1])
+    find_garbled(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), sample=300, garbled=100)
+    outside = [i for i in range(900) if texts[i] not in seen[0]]
+    monkeypatch.setattr(mojibake, "training_sample", lambda *a: seen[0])
     rare = "两组眼压的变化与鼙鼓龃龉无关，差异无统计学意义。"
     for i in outside[:3]:
         texts[i] = "随访期间未见严重不良反应。" + rare
@@ -95,10 +98,10 @@ def test_every_chain_within_the_window_is_tried():
 
     class Scored(Model):
         def judge(self, own):
-            scores = np.zeros((len(own), len(CHAINS)))
+            scores = np.zeros((len(own), LOST_CLASS + 1))
             for i in [i for i, w in enumerate(own) if w == word.encode()]:
                 scores[i, wrong], scores[i, right] = 20, 15
-            return scores, np.full(len(own), CLEAR)
+            return scores, np.full(len(own), 7.0)
 
         def clean(self, own):
             return np.zeros(len(own))
@@ -111,3 +114,46 @@ def test_the_length_of_training_texts_is_a_parameter(spark, monkeypatch):
     monkeypatch.setattr(mojibake, "training_sample", lambda *a: seen.append(own(*a)) or seen[-1])
     mojibake.find_garbled(spark.createDataFrame([(1, "aé " * 50)], "doc_id bigint, text string"), longest=40)
     assert [len(r) for r in seen[0]] == [40]
+
+
+FRENCH = ["Le traitement n’a pas changé l’épaisseur.", "L’œil droit n’a pas été traité.", "L’étude n’a trouvé aucun cas d’œdème.", "Aucun œil n’a perdu d’acuité.", "S’il n’a pas mal à l’œil, l’équipe s’arrête là.", "Une sœur « âgée » de l’élève."]
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_every_sample_leaves_correct_french_and_finds_the_garbled(seed):
+    r = random.Random(seed)
+    clean = [t for _, t in corpus(1000 + seed, 300)] + [" ".join(r.choice(FRENCH) for _ in range(3)) for _ in range(60)]
+    hidden = [" ".join(r.choice(FRENCH) for _ in range(3)) for _ in range(40)] + [text(r, x) for x in ("de", "es", "pt", "fr") for _ in range(25)]
+    chains = [CHAINS.index(x) for x in ((("utf-8", "cp1252"),), (("utf-8", "mac_roman"),), (("cp1252", "mac_roman"),), (("utf-8", "cp1252"), ("utf-8", "cp1252")))]
+    bad = [garble(x, CHAINS[r.choice(chains)]) for x in hidden]
+    mixed = clean + bad[::35]
+    r.shuffle(mixed)
+    model = train(mixed, 200)
+    model.counts = np.zeros(1 << mojibake.WORD_BITS, np.int64)
+    mojibake.census(mixed, model, model.counts)
+    found, kept = repair(bad, model), repair(hidden + clean, model)
+    true = sum(a != b for a, b in zip(bad, hidden))
+    hits = sum(x[0] for x in found)
+    assert hits >= 0.98 * true
+    assert not [x[4] for x in kept if x[0]]
+
+
+def test_apostrophes_and_quotes_are_no_signs_of_garbling():
+    assert not any(map(suspicious, [*FRENCH, "Œdème « léger »", "andré »", "MÉTODOS E AVALIAÇÃO"]))
+    assert all(map(suspicious, ["fÃ¼r", "a � b", "mm â€“ x", "Ã‡a", "çœ¼åŽ‹"]))
+
+
+def test_lost_characters_have_a_class(model):
+    rows = repair(["r�sultats", "ï¿½", "鈥� 52", "n�a pas", "眼压�升高", "na�ve", "é"], model)
+    assert [x[0] for x in rows] == [True] * 6 + [False]
+    assert rows[0][4] == "r�sultats" and rows[1][3] == 0
+    assert repair(["a � b"], train(["only ascii"], 10))[0][:2] == (True, "lost")
+
+
+def test_counts_of_words_decide_what_the_score_leaves_open(model):
+    word = "aprËs"
+    counts = np.zeros_like(model.counts)
+    counts[mojibake.word_bucket(word.encode())] = 400
+    assert not repair([word], Model(model.logs, model.known, counts))[0][0]
+    counts[mojibake.word_bucket("après".encode())] = 4_000_000
+    assert repair([word], Model(model.logs, model.known | {"è"}, counts))[0][4] == "après"
