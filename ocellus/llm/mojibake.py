@@ -31,7 +31,7 @@ BITS = 16
 WORD_BITS = 20  # of the hashed counts of words
 LOST_CLASS = len(CHAINS)  # the class after the chains: words with lost characters
 PRIOR = 6.0  # nats: log-odds against a given word being garbled, one word in 400
-STRONGEST = 7.0  # nats that counts of words may add or take
+STRONGEST, REPEATED = 7.0, 12  # nats that counts of words may add or take, and the length in bytes from which it is less in proportion: longer words seldom repeat and tell more themselves
 CERTAIN = 40.0  # what a word that no chain restores must reach beyond PRIOR: five bigrams at the limit of 8 nats each that a single one may give
 PURGE = 60.0  # words of a training text that reach this together, or turn back into UTF-8, keep it from being an example of clean text
 UNSEEN = -15.5  # 1.8e-7, between the 1e-8 that a bigram of no class has and one sight among the bigrams of a sample; clean words have none below
@@ -47,13 +47,17 @@ ORDINARY = re.compile("[\u00a0-\u017f\u0300-\u036f\u0391-\u03c9\u2000-\u27bf\ufe
 
 def words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     """The words beyond ASCII of all texts and the number of each word's text."""
-    out, owner = [], []
-    for i, t in enumerate(texts):
-        if t and not t.isascii():
-            own = [w for w in t.encode("utf-8", "replace").split() if not w.isascii()]
-            out += own
-            owner += [i] * len(own)
-    return out, np.array(owner, np.int64)
+    odd = [i for i, t in enumerate(texts) if t and not t.isascii()]
+    parts = [texts[i].encode("utf-8", "replace") for i in odd]
+    if not parts:
+        return [], np.zeros(0, np.int64)
+    joined = b" ".join(parts)
+    data = np.frombuffer(joined, np.uint8)
+    blank = np.r_[np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13))), len(data)]
+    gap = np.unique(np.searchsorted(blank, np.flatnonzero(data >= 128)))  # the blank after each word
+    begin = np.where(gap > 0, blank[gap - 1] + 1, 0)
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    return [joined[a:b] for a, b in zip(begin.tolist(), blank[gap].tolist(), strict=True)], np.array(odd, np.int64)[np.searchsorted(ends, begin, side="right")]
 
 
 def bigrams(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +108,35 @@ def running(gain: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return total - np.minimum.accumulate(total - gain)
 
 
+def promising(most: np.ndarray, grams: np.ndarray, side: np.ndarray, owner: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bigrams, their side, owner and size of each piece): the pieces between two zeros of the best sums of the greatest gains in which these reach the owner's least. What
+    reaches it with lesser gains does so within such a piece."""
+    begin = np.cumsum(size) - size
+    gain = most[side, grams]
+    best = running(gain, begin)
+    fresh = best <= gain
+    fresh[begin] = True
+    at = np.flatnonzero(fresh)
+    of = np.repeat(owner, size)[at]
+    keep = np.maximum.reduceat(best, at) >= least[of]
+    n = np.diff(np.r_[at, len(grams)])[keep]
+    at, of = at[keep], of[keep]
+    held = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return grams[held], side[held], of, n
+
+
+def families() -> list[list[int]]:
+    """Classes of like chains: by the encodings of the last step and whether words have CJK characters; most words come near few of them."""
+    out: dict[object, list[int]] = {}
+    for c, chain in enumerate(CHAINS):
+        for k in (2 + 2 * c, 3 + 2 * c):
+            out.setdefault((chain[0][0], chain[-1][1] in SINGLE, len(chain), k % 2), []).append(k)
+    return [*out.values(), [2 + 2 * LOST_CLASS, 3 + 2 * LOST_CLASS]]
+
+
+FAMILIES = families()
+
+
 @dataclass
 class Model:
     """logs[k]: the log-probability of each bigram in class k: clean words without and with CJK characters, then of each chain, and of lost characters, in words
@@ -133,61 +166,55 @@ class Model:
         logs[:, ASCII_ONLY] = 0
         return Model(logs, known)
 
-    @functools.cached_property
-    def most(self) -> np.ndarray:
-        """The greatest gain that each bigram has in any class, against clean words without and with CJK characters."""
-        return np.clip(self.logs[2:].max(axis=0) - self.sound, -LIMIT, LIMIT)
-
     @functools.cached_property
     def sound(self) -> np.ndarray:
         """The log-probability of each bigram in clean words without CJK characters, and in those with: these hold words of other scripts as well."""
         return np.array([self.logs[0], self.logs[:2].max(axis=0)])
 
-    def judge(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, least): for each word and class the best sum of log-likelihood ratios against clean words that a stretch of its bigrams has, 0 where it
-        can't come near what it must reach, which is `least`: the prior and the logarithm of the number of stretches among which the best was chosen."""
+    @functools.cached_property
+    def most(self) -> list[np.ndarray]:
+        """For each of FAMILIES the greatest gain that each bigram has in any of its classes, against clean words of either kind; first in any class at all."""
+        return [np.clip(self.logs[own].max(axis=0) - self.sound, -LIMIT, LIMIT) for own in ([*range(2, len(self.logs))], *FAMILIES)]
+
+    def judge(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, least, room): for each word and class the best sum of log-likelihood ratios against clean words that a stretch of its bigrams has, 0 where it
+        can't come near what it must reach. That is `least`: the prior and the logarithm of the number of stretches among which the best was chosen; `room` is what
+        counts may add to it."""
         grams, begin = bigrams(own)
         lengths = np.diff(np.r_[begin, len(grams)])
         least = PRIOR + np.log(lengths * (lengths + 1) / 2)
+        room = STRONGEST * np.minimum(1, REPEATED / lengths)
         scores = np.zeros((len(own), LOST_CLASS + 1))
         cjk = wide(own)
+        owner = np.arange(len(own))
         side = np.repeat(cjk, lengths).astype(np.int64)
-        best = running(self.most[side, grams], begin)
-        # a stretch that reaches the least in some class lies between two zeros of the best sums of the greatest gains, and its part there reaches it as well
-        fresh = best <= self.most[side, grams]
-        fresh[begin] = True
-        at = np.flatnonzero(fresh)
-        owner = np.repeat(np.arange(len(own)), lengths)[at]
-        peak = np.maximum.reduceat(best, at) if len(at) else at
-        keep = peak >= least[owner] - STRONGEST
-        ends = np.r_[at[1:], len(grams)]
-        at, ends, owner = at[keep], ends[keep], owner[keep]
-        if not len(at):
-            return scores, least
-        size = ends - at
-        first = np.cumsum(size) - size
-        held = np.repeat(at - first, size) + np.arange(size.sum())
-        grams, side = grams[held], side[held]
-        base, limit = self.sound[side, grams], LIMIT[grams]
-        words_at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        for k in range(2, len(self.logs)):
-            gain = np.clip(self.logs[k][grams] - base, -limit, limit)
-            score = np.maximum.reduceat(np.maximum.reduceat(running(gain, first), first), words_at)
-            c = (k - 2) // 2
-            if c == LOST_CLASS:
-                score = np.where(cjk[owner[words_at]] == k % 2, score, 0)  # against clean words of its own kind
-            scores[owner[words_at], c] = np.maximum(scores[owner[words_at], c], score)
-        return scores, least
+        grams, side, owner, size = promising(self.most[0], grams, side, owner, lengths, least - room)
+        for most, family in zip(self.most[1:], FAMILIES, strict=True):
+            if not len(owner):
+                break
+            g, s, o, n = promising(most, grams, side, owner, size, least - room)
+            if not len(o):
+                continue
+            base, limit, first = self.sound[s, g], LIMIT[g], np.cumsum(n) - n
+            words_at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+            held = o[words_at]
+            for k in family:
+                score = np.maximum.reduceat(running(np.clip(self.logs[k][g] - base, -limit, limit), first), first[words_at])
+                c = (k - 2) // 2
+                if c == LOST_CLASS:
+                    score = np.where(cjk[held] == k % 2, score, 0)  # against clean words of its own kind
+                scores[held, c] = np.maximum(scores[held, c], score)
+        return scores, least, room
 
     def clean(self, own: list[bytes]) -> np.ndarray:
         """The log-probability of each word's least likely bigram among clean words."""
         grams, begin = bigrams(own)
         return np.minimum.reduceat(self.sound[1][grams], begin)
 
-    def evidence(self, word: bytes, fixed: bytes) -> float:
+    def evidence(self, word: bytes, fixed: bytes, room: float) -> float:
         """What the counts of a word and of what it would be restored to say for the latter; the word itself is one of its count."""
         ratio = np.log((self.counts[word_bucket(fixed)] + 1.0) / max(self.counts[word_bucket(word)], 1.0))
-        return float(np.clip(ratio, -STRONGEST, STRONGEST))
+        return float(np.clip(ratio, -room, room))
 
 
 def suspicious(text: str) -> bool:
@@ -285,17 +312,17 @@ def judged(own: list[bytes], model: Model) -> dict[bytes, Verdict]:
     out: dict[bytes, Verdict] = {}
     if not own:
         return out
-    scores, least = model.judge(own)
+    scores, least, room = model.judge(own)
     top = scores[:, :LOST_CLASS].max(axis=1)
     tried: list[tuple[int, int, str, bytes, float]] = []
-    for i in np.flatnonzero(np.maximum(top, scores[:, LOST_CLASS]) >= least - STRONGEST).tolist():
+    for i in np.flatnonzero(np.maximum(top, scores[:, LOST_CLASS]) >= least - room).tolist():
         word = own[i].decode()
         for c in np.argsort(-scores[i, :LOST_CLASS]).tolist():
-            if scores[i, c] < max(least[i] - STRONGEST, top[i] - 12):
+            if scores[i, c] < max(least[i] - room[i], top[i] - 12):
                 break
             if (fixed := restored(word, c, model)) is not None:
                 data = fixed.encode()
-                if (score := scores[i, c] + model.evidence(own[i], data)) >= least[i]:
+                if (score := scores[i, c] + model.evidence(own[i], data, room[i])) >= least[i]:
                     tried.append((i, c, fixed, data, score))
         if scores[i, LOST_CLASS] >= least[i] or top[i] >= PRIOR + CERTAIN:
             out[own[i]] = Verdict(True, int(scores[i].argmax()), None, float(scores[i].max()))
@@ -303,7 +330,7 @@ def judged(own: list[bytes], model: Model) -> dict[bytes, Verdict]:
     rest = [x for x in tried if not (x[3].isascii() or len(x[3].split()) != 1)]
     lone = []
     if rest:
-        after, _ = model.judge([x[3] for x in rest])
+        after, *_ = model.judge([x[3] for x in rest])
         floor = model.clean([x[3] for x in rest])
         for x, s, f in zip(rest, after.max(axis=1), floor, strict=True):
             written = CHAINS[x[1]][0][0]

@@ -101,7 +101,7 @@ def test_every_chain_within_the_window_is_tried():
             scores = np.zeros((len(own), LOST_CLASS + 1))
             for i in [i for i, w in enumerate(own) if w == word.encode()]:
                 scores[i, wrong], scores[i, right] = 20, 15
-            return scores, np.full(len(own), 7.0)
+            return scores, np.full(len(own), 7.0), np.zeros(len(own))
 
         def clean(self, own):
             return np.zeros(len(own))
