@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.storage import cut_lineage
@@ -128,6 +128,11 @@ FINALS = {
 SYLLABLES = frozenset(i + f for group, finals in FINALS.items() for i in group.split() for f in finals.split()) | frozenset("a o e ai ei ao ou an en ang eng er".split())
 
 
+def readings(given: str, known: frozenset[str], han: str) -> list[list[str]]:
+    """The ways to read a given name as one or two syllables, failing that as three, or as many as the Han spelling leaves for it."""
+    return splits(given, known) or splits(given, known, max(3, len(han) - 1))
+
+
 def splits(given: str, known: frozenset[str], most: int = 2) -> list[list[str]]:
     """All ways to read a given name as at most `most` known syllables."""
     if not most:
@@ -152,16 +157,18 @@ def evidence(name: str) -> list[tuple[str, str, str]]:
     """(role, token, witness) that a string gives for the lexicon."""
     n = parse(name)
     out = [("token", t.replace("-", ""), name) for t in n.tokens if len(t) > 2]
-    if n.kind == "person" and 2 <= len(n.han) <= 3 and len(n.tokens) == 2:
+    if n.kind == "person" and len(n.han) >= 2 and len(n.tokens) == 2:
         given, surname = (n.tokens[1], n.tokens[0]) if n.surname_first else (n.tokens[0], n.tokens[1])
         out.append(("surname", surname, n.han))
-        read = [x for x in splits(given.replace("-", ""), SYLLABLES) if len(x) == len(n.han) - 1]
+        fit = (len(n.han) - 1, len(n.han) - 2) if len(n.han) > 3 else (len(n.han) - 1,)  # four characters may begin with a surname of two
+        read = [x for x in splits(given.replace("-", ""), SYLLABLES, fit[0]) if len(x) in fit]
         if len(read) == 1:
             out += [("syllable", x, n.han) for x in read[0]]
     return out
 
 
 def deletions(token: str) -> set[str]:
+    """The token and what is left of it without one letter; of two letters the one that is left would tell nothing."""
     return {token} | {token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 2 else {token}
 
 
@@ -197,7 +204,7 @@ def features(name: str, lex: Lexicon) -> tuple[bool, str, str, list[Feature]]:
     for given, surname in pairs:
         if not given:
             continue
-        if (surname in lex.surnames and splits(given, lex.syllables)) or (given in lex.common and surname in lex.common):
+        if (surname in lex.surnames and readings(given, lex.syllables, n.han)) or (given in lex.common and surname in lex.common):
             valid = True
     nick = False
     for given, surname in pairs:
@@ -205,7 +212,7 @@ def features(name: str, lex: Lexicon) -> tuple[bool, str, str, list[Feature]]:
             out.append(("full", surname, "", True, ""))
             continue
         a, b = sorted((given, surname))
-        parts = splits(given, lex.syllables) if surname in lex.surnames else []
+        parts = readings(given, lex.syllables, n.han) if surname in lex.surnames else []
         if n.han and any(len(x) == len(n.han) - 1 for x in parts):
             parts = [x for x in parts if len(x) == len(n.han) - 1]
         loose = len(n.tokens) > 2
@@ -298,59 +305,90 @@ def resolve(df: DataFrame, column: str = "authors_display", rounds: int | None =
     numbered = names.select("name", F.xxhash64("name").alias("id"))
     described = cut_lineage(with_flags(names, flags).withColumn("id", F.xxhash64("name")).mapInArrow(describe, "id bigint, weak boolean, han string, middle string, features array<struct<type:string,key:string,token:string,strong:boolean,spelling:string>>"))
     flat = described.select("id", F.explode("features").alias("f")).select("id", "f.*")
-    close = cut_lineage(near_pairs(flat))
     keyed = cut_lineage(flat.filter("type <> 'typo'").groupBy("id", "type", "key").agg(F.max("strong").alias("strong")))
-    profiles = described.select("id", "weak", F.nullif("han", F.lit("")).alias("han"), F.nullif("middle", F.lit("")).alias("middle"))
-    entity = cut_lineage(profiles.select("id", F.col("id").alias("e"), "weak", "han", "middle"))
+    spots = flat.filter("type = 'typo'").select("id", F.xxhash64(context(), "token").alias("spot")).distinct()
+    near_by = cut_lineage(near_spots(flat))
+    spots = cut_lineage(spots.join(near_by.select("spot").distinct(), "spot", "left_semi"))
+    entity = cut_lineage(described.select("id", F.col("id").alias("e"), "weak", own_list("han"), own_list("middle"), F.lit(True).alias("changed")))
     for done in itertools.count():
-        links = blocked(keyed, entity).unionByName(typed(close, entity))
+        links = blocked(keyed, entity, done == 0).unionByName(typed(spots, near_by, entity, done == 0))
         least = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a"))
         if least.isEmpty():
             break
         if rounds is not None and done >= rounds:
             raise RuntimeError(f"names still merge after {rounds} rounds")
         hop = least.join(least.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("e"), F.coalesce("c", "b").alias("n"))  # longer chains are for the next round
-        moved = entity.join(hop, "e", "left").select("id", F.coalesce("n", "e").alias("e"), "weak", "han", "middle")
+        moved = entity.join(hop, "e", "left").select("id", F.coalesce("n", "e").alias("e"), "weak", "han", "middle", F.col("n").isNotNull().alias("moved"))
         # the merged profile: what its members have
-        merged = moved.groupBy("e").agg(F.min("weak").alias("weak"), F.max("han").alias("han"), F.max("middle").alias("middle"))
-        entity = cut_lineage(moved.select("id", "e").join(merged, "e").select("id", "e", "weak", "han", "middle"))
+        merged = moved.groupBy("e").agg(F.min("weak").alias("weak"), union_of("han"), union_of("middle"), F.max("moved").alias("changed"))
+        entity = cut_lineage(moved.select("id", "e").join(merged, "e").select("id", "e", "weak", "han", "middle", "changed"))
     return numbered.join(entity.select("id", F.col("e").alias("entity")), "id").select("name", "entity")
 
 
-def near_pairs(flat: DataFrame) -> DataFrame:
-    """(a, b): names of which one has a token at most one typing error away from the other's, all else being equal."""
-    typo = flat.filter("type = 'typo'").select("id", "key", "token")
-    other = typo.select("key", F.col("id").alias("b"), F.col("token").alias("y"))
-    return typo.withColumnsRenamed({"id": "a", "token": "x"}).join(other, "key").filter("a < b").filter(near(F.col("x"), F.col("y"))).select("a", "b").distinct()
+def own_list(column: str) -> Column:
+    return F.filter(F.array(column), lambda x: x != "").alias(column)
+
+
+def union_of(column: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))).alias(column)
+
+
+def context() -> Column:
+    """What of a typo key is not the token: all before its last word."""
+    return F.expr("substring_index(key, ' ', size(split(key, ' ')) - 1)")
 
 
-def blocked(keyed: DataFrame, entity: DataFrame) -> DataFrame:
-    """(a, b): entities to merge since they share a feature, as stars about one of their block. One window over all kinds of features.
+def near_spots(flat: DataFrame) -> DataFrame:
+    """(spot, other): places of a token in its context of which one is at most one typing error away from the other, in either direction. Each token of a context is
+    paired once however many names have it, and never with itself; few tokens share a deletion."""
+    tokens = flat.filter("type = 'typo'").select("key", "token").distinct()
+    pairs = tokens.withColumnRenamed("token", "x").join(tokens.withColumnRenamed("token", "y"), "key").filter("x < y").filter(near(F.col("x"), F.col("y")))
+    both = pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"), context().alias("c"))
+    return both.select(F.xxhash64("c", "p.x").alias("spot"), F.xxhash64("c", "p.y").alias("other")).distinct()
+
+
+def touched(rows: DataFrame, entity: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of blocks that hold an entity which changed in the last round; in all others nothing is left to merge."""
+    changed = rows.join(entity.filter("changed").select("id"), "id", "left_semi").select(*on).distinct()
+    return rows.join(changed, on, "left_semi")
+
+
+def blocked(keyed: DataFrame, entity: DataFrame, first_round: bool) -> DataFrame:
+    """(a, b): entities to merge since they share a feature, as stars about one of their block. Blocks are aggregated with partial results and their rows meet one
+    row of aggregates, so no block is held as a whole.
 
     The same Han spelling, or the same full name with the same Han spelling and middle initial, always joins. A full name alone joins when those who
     bear it don't differ in Han spelling or middle initial. Initials, nicknames and acronyms join to the one strong profile that has them, and, where none
     has, each other."""
-    own = keyed.join(entity, "id").groupBy("type", "key", "e", "weak", "han", "middle").agg(F.max("strong").alias("strong"))
-    exact = F.array(F.struct("type", "key"), F.when((F.col("type") == "full") & (F.col("han").isNotNull() | F.col("middle").isNotNull()), F.struct(F.lit("exact").alias("type"), F.concat_ws("|", "key", F.coalesce("han", F.lit("")), F.coalesce("middle", F.lit(""))).alias("key"))))
-    rows = own.select("e", "han", "middle", "strong", F.explode(F.filter(exact, lambda x: x.isNotNull())).alias("k")).select("e", "han", "middle", "strong", "k.*")
-    w = Window.partitionBy("type", "key")
+    rows = keyed if first_round else touched(keyed, entity, ["type", "key"])
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("")))
+    exact = F.flatten(F.transform(some("han"), lambda h: F.transform(some("middle"), lambda m: F.struct(F.lit("exact").alias("type"), F.concat_ws("|", "key", h, m).alias("key")))))
+    named = (F.col("type") == "full") & ((F.size("han") > 0) | (F.size("middle") > 0))
+    keys = F.concat(F.array(F.struct("type", "key")), F.when(named, exact).otherwise(F.array().cast("array<struct<type:string,key:string>>")))
+    wide = rows.join(entity, "id").select("e", "strong", F.array_min("han").alias("h0"), F.array_max("han").alias("h1"), F.array_min("middle").alias("m0"), F.array_max("middle").alias("m1"), F.explode(keys).alias("k"))
+    own = wide.groupBy("k.type", "k.key", "e").agg(F.max("strong").alias("strong"), *[F.max(x).alias(x) for x in ("h0", "h1", "m0", "m1")])
     strong = F.col("strong")
-    seen = rows.select("e", "type", strong, F.min("e").over(w).alias("first"), F.min("han").over(w).eqNullSafe(F.max("han").over(w)).alias("one_han"), F.min("middle").over(w).eqNullSafe(F.max("middle").over(w)).alias("one_middle"), F.sum(strong.cast("int")).over(w).alias("n_strong"), F.min(F.when(strong, F.col("e"))).over(w).alias("only"))
-    hint = ~strong & (F.col("n_strong") == 1)
-    alone = ~strong & (F.col("n_strong") == 0) & (F.col("type") != "nick")
+    block = own.groupBy("type", "key").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("first"), F.min("h0").eqNullSafe(F.max("h1")).alias("one_han"), F.min("m0").eqNullSafe(F.max("m1")).alias("one_middle"), F.count_if(strong).alias("n_strong"), F.min(F.when(strong, F.col("e"))).alias("only"))
     firm = F.col("type").isin("han", "exact") | ((F.col("type") == "full") & F.col("one_han") & F.col("one_middle"))
     hinted = F.col("type").isin("initials", "nick", "acronym")
-    target = F.when(firm, F.col("first")).when(hinted & hint, F.col("only")).when(hinted & alone, F.col("first"))
-    return seen.select(F.col("e").alias("a"), target.alias("b")).filter("b is not null and a <> b").distinct()
-
-
-def typed(close: DataFrame, entity: DataFrame) -> DataFrame:
-    """(a, b): weak profiles with the one strong profile that is a typing error away; without a strong one, with the one weak profile."""
-    a = entity.select(F.col("id").alias("a"), F.col("e").alias("ea"), F.col("weak").alias("wa"))
-    b = entity.select(F.col("id").alias("b"), F.col("e").alias("eb"), F.col("weak").alias("wb"))
-    pairs = close.join(a, "a").join(b, "b").filter("ea <> eb").select(F.explode(F.array(F.struct(F.col("ea").alias("x"), F.col("wa").alias("wx"), F.col("eb").alias("y"), F.col("wb").alias("wy")), F.struct(F.col("eb").alias("x"), F.col("wb").alias("wx"), F.col("ea").alias("y"), F.col("wa").alias("wy")))).alias("p")).select("p.*")
-    near_by = pairs.filter("wx").distinct().groupBy("x").agg(F.count_if(~F.col("wy")).alias("n"), F.count_if("wy").alias("m"), F.min(F.when(~F.col("wy"), F.col("y"))).alias("b"), F.min("y").alias("c"))
-    return near_by.filter("n = 1 or n = 0 and m = 1").select(F.col("x").alias("a"), F.coalesce("b", "c").alias("b"))
+    hint = F.when(F.col("n_strong") == 1, F.col("only")).when((F.col("n_strong") == 0) & (F.col("type") != "nick"), F.col("first"))
+    stars = block.filter("n > 1").select("type", "key", F.when(firm, F.col("first")).alias("all"), F.when(hinted, hint).alias("weak")).filter("all is not null or weak is not null")
+    return own.join(stars, ["type", "key"]).select(F.col("e").alias("a"), F.coalesce("all", F.when(~strong, F.col("weak"))).alias("b")).filter("b is not null and a <> b").distinct()
+
+
+def typed(spots: DataFrame, near_by: DataFrame, entity: DataFrame, first_round: bool) -> DataFrame:
+    """(a, b): weak profiles with the one strong profile that is a typing error away; without a strong one, with the one weak profile. Every spot's profiles are
+    aggregated to counts and extremes, from which "the only other one" is exact: where more than two profiles share a spot, there is none."""
+    at = spots.join(entity, "id").groupBy("spot", "e").agg(F.max("weak").alias("weak"), F.max("changed").alias("changed"))
+    weak, e = F.col("weak"), F.col("e")
+    here = at.groupBy("spot").agg(F.min(F.when(~weak, e)).alias("s0"), F.max(F.when(~weak, e)).alias("s1"), F.count_if(weak).alias("n"), F.min(F.when(weak, e)).alias("w0"), F.max(F.when(weak, e)).alias("w1"), F.max("changed").alias("news"))
+    met = at.filter("weak").join(near_by, "spot").join(here.withColumnRenamed("spot", "other"), "other")
+    inside = (e == F.col("w0")) | (e == F.col("w1"))
+    others = F.col("n") - F.when(inside, 1).otherwise(0)
+    other = F.when(others == 1, F.when(e == F.col("w0"), F.col("w1")).otherwise(F.col("w0")))
+    by = met.select("e", "s0", "s1", others.alias("others"), other.alias("other"), (F.col("news") | F.col("changed")).alias("news")).groupBy("e").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.max("others").alias("others"), F.min("other").alias("o0"), F.max("other").alias("o1"), F.max("news").alias("news"))
+    only = F.when(F.col("s0") == F.col("s1"), F.col("s0")).when(F.col("s0").isNull() & (F.col("others") == 1) & (F.col("o0") == F.col("o1")), F.col("o0"))
+    return by.filter("news").select(e.alias("a"), only.alias("b")).filter("b is not null and a <> b")
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

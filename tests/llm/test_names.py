@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import pytest
 
-from ocellus.llm.names import fold, near, parse, resolve, splits, SYLLABLES, variant_pairs
+from ocellus.llm.names import evidence, fold, near, near_spots, parse, readings, resolve, splits, SYLLABLES, variant_pairs
 from pyspark.sql import functions as F
 
 PEOPLE = [
@@ -64,3 +65,30 @@ def test_typing_errors(spark):
     pairs = [("shayun", "shayun"), ("shayun", "shayn"), ("shayun", "shaynu"), ("shayun", "shaxun"), ("shayun", "shax"), ("abc", "cba")]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert [r[0] for r in df.select(near(F.col("a"), F.col("b"))).collect()] == [True, True, True, True, False, True]
+
+
+def test_a_chain_of_fifty_spellings(spark):
+    r = random.Random(4)
+    w = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(104))
+    names = [f"{w[:k]} {w[k : k + 2]} {w[k + 2 :]}" for k in range(3, 102, 2)]
+    df = spark.createDataFrame([(x,) for x in [*names, "Petra Zorvath"]], "authors_display string")
+    entity = {r.name: r.entity for r in resolve(df).collect()}
+    assert len(names) == 50 and len({entity[x] for x in names}) == 1 and len(set(entity.values())) == 2
+
+
+def test_a_name_in_five_thousand_spellings(spark):
+    r = random.Random(5)
+    names = {"".join(r.choice((c.lower(), c.upper())) for c in "Ottilie Tarlholm") for _ in range(5000)}
+    df = spark.createDataFrame([(x,) for x in names], "authors_display string")
+    assert len(names) > 4500 and resolve(df).select("entity").distinct().count() == 1
+
+
+def test_tokens_are_paired_once_and_never_with_themselves(spark):
+    rows = [(i, "typo", f"ada {d}", t) for i, t in enumerate(["zorvath"] * 30 + ["zorvat"] * 20) for d in {t} | {t[:k] + t[k + 1 :] for k in range(len(t))}]
+    flat = spark.createDataFrame(rows, "id bigint, type string, key string, token string")
+    assert near_spots(flat).count() == 2
+
+
+def test_longer_given_names_and_surnames_of_two_characters():
+    assert ("syllable", "fei", "欧阳兰菲") in evidence("Lanfei Ouyang(欧阳兰菲)") and ("syllable", "lan", "何莎沄兰") in evidence("Shayunlan He(何莎沄兰)")
+    assert readings("shayunlan", SYLLABLES, "") == [["sha", "yun", "lan"]] and readings("shayun", SYLLABLES, "") == [["sha", "yun"]]
