@@ -80,8 +80,8 @@ class Steps:
 
 class Engine:
     def __init__(self, table_of_papers: DataFrame, keywords: DataFrame | None = None, embeddings: DataFrame | None = None, settings: Settings | None = None, embedder=None, rewriter=None, judge=None, keep: bool = True):
-        """keep: hold typed papers and tokens in memory, and on disk what doesn't fit, as every search reads them several times; close() lets them go. For a
-        corpus too large for that, prepare() writes them once instead."""
+        """keep: hold typed papers and tokens in memory, and on disk what doesn't fit, as every search reads them several times; close(), or the end of a with
+        block, lets them go. For a corpus too large for that, prepare() writes it once, and prepared() reads of it what a query needs."""
         self.settings = settings or Settings()
         self.papers = papers(table_of_papers, keywords)
         self.index = fulltext.token_index(self.papers)
@@ -89,6 +89,7 @@ class Engine:
             self.papers = self.papers.persist(StorageLevel.MEMORY_AND_DISK)
             self.index = fulltext.token_index(self.papers).persist(StorageLevel.MEMORY_AND_DISK)
         self.embeddings, self.embedder, self.rewriter, self.judge = embeddings, embedder, rewriter, judge
+        self.posted, self.corpus, self.known = None, None, {}
         self.cache, self.steps = Cache(self.settings.cache_seconds), Steps()
 
     @staticmethod
@@ -97,38 +98,69 @@ class Engine:
 
     @staticmethod
     def prepare(table_of_papers: DataFrame, keywords: DataFrame | None, folder: str) -> None:
-        """Writes typed papers, their tokens and the postings, these bucketed into ranges of tokens so that a query's tokens are found by file statistics."""
-        typed = papers(table_of_papers, keywords)
-        typed.write.mode("overwrite").parquet(f"{folder}/typed.parquet")
-        index = fulltext.token_index(table_of_papers.sparkSession.read.parquet(f"{folder}/typed.parquet"))
-        index.write.mode("overwrite").parquet(f"{folder}/tokens.parquet")
+        """Writes typed papers in order of ids, the postings in order of tokens, so that files and row groups of few ids or tokens are found by their statistics, and one
+        row of what is known of the whole corpus."""
+        spark = table_of_papers.sparkSession
+        papers(table_of_papers, keywords).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/typed.parquet")
+        typed = spark.read.parquet(f"{folder}/typed.parquet")
+        index = fulltext.token_index(typed)
         fulltext.postings(index).repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{folder}/postings.parquet")
+        fulltext.corpus_stats(index).crossJoin(fusion.year_bounds(typed)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus.parquet")  # one row each
 
     @classmethod
-    def prepared(cls, spark: SparkSession, folder: str, embeddings: DataFrame | None = None, **options) -> Engine:
-        """An engine over what prepare() wrote."""
+    def prepared(cls, spark: SparkSession, folder: str, embeddings: DataFrame | None = None, settings: Settings | None = None, embedder=None, rewriter=None, judge=None) -> Engine:
+        """An engine over what prepare() wrote: full text reads the postings of the query's tokens, and the papers of the candidates are found by their ids."""
         own = cls.__new__(cls)
-        own.settings = options.get("settings") or Settings()
-        own.papers, own.index = spark.read.parquet(f"{folder}/typed.parquet"), spark.read.parquet(f"{folder}/tokens.parquet")
-        own.embeddings, own.embedder, own.rewriter, own.judge = embeddings, options.get("embedder"), options.get("rewriter"), options.get("judge")
+        own.settings = settings or Settings()
+        own.papers, own.posted, own.corpus = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("typed", "postings", "corpus"))
+        own.embeddings, own.embedder, own.rewriter, own.judge = embeddings, embedder, rewriter, judge
+        own.index, own.known = None, {}
         own.cache, own.steps = Cache(own.settings.cache_seconds), Steps()
         return own
 
     def close(self) -> None:
-        self.index.unpersist()
-        self.papers.unpersist()
+        for held in (self.index, self.papers):
+            if held is not None:
+                held.unpersist()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def knows(self, name: str) -> bool:
-        return retrieval.knows_author(self.papers, name)
+        """Each name is looked up once."""
+        if name not in self.known:
+            if len(self.known) >= 10_000:
+                self.known.clear()
+            self.known[name] = retrieval.knows_author(self.papers, name)
+        return self.known[name]
+
+    def matches(self, query: str) -> DataFrame:
+        return fulltext.bm25_raw(self.index, query) if self.posted is None else fulltext.bm25_posted(self.posted, self.corpus, query)
+
+    def full_text(self, query: str) -> DataFrame:
+        return fulltext.best_of(self.matches(query), DEPTH)
+
+    def local(self, scores: DataFrame) -> DataFrame:
+        """The scores of a few hundred candidates at most, brought to the driver by a prepared engine, so that later steps know their ids."""
+        if self.posted is None:
+            return scores
+        return scores.sparkSession.createDataFrame([(r.id, r.score) for r in scores.select("id", "score").collect()], "id bigint, score double")
 
     def raw_recall(self, query: str) -> DataFrame:
-        """Full text and keywords, the greater score of both; where they find nothing, terms. One plan: whether they did is a row joined to the terms' result."""
-        direct = fusion.merge_scores([fulltext.full_text(self.index, query, DEPTH), retrieval.by_keywords(self.papers, query, DEPTH)])
+        """Full text and keywords, the greater score of both; where they find nothing, terms. Without prepared postings this is one plan: whether they did is a row joined to
+        the terms' result. A prepared engine asks first."""
+        direct = fusion.merge_scores([self.full_text(query), retrieval.by_keywords(self.papers, query, DEPTH)])
+        if self.posted is not None:
+            direct = self.local(direct)
+            return direct if not direct.isEmpty() else retrieval.by_terms(self.papers, query, DEPTH)
         nothing = direct.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
         return direct.unionByName(retrieval.by_terms(self.papers, query, DEPTH).crossJoin(F.broadcast(nothing)).select("id", "score"))
 
     def rewrite_recall(self, queries: list[str]) -> DataFrame:
-        return fusion.merge_scores([fulltext.full_text(self.index, q, DEPTH) for q in queries])
+        return fusion.merge_scores([self.full_text(q) for q in queries])
 
     def semantic_recall(self, query: str, vector: list[float] | None = None) -> DataFrame | None:
         s = self.settings
@@ -143,7 +175,7 @@ class Engine:
         return retrieval.nearest_blobs(fresh_embeddings(self.embeddings, self.papers, s.provider, s.model, s.dimensions), [x / length for x in vector], DEPTH)
 
     def few_hits(self, query: str) -> bool:
-        return fulltext.bm25_raw(self.index, query).limit(understanding.FEW_HITS).count() < understanding.FEW_HITS
+        return self.matches(query).limit(understanding.FEW_HITS).count() < understanding.FEW_HITS
 
     def ranked(self, text: str, year_from: int | None = None, year_to: int | None = None, vector: list[float] | None = None, today: date | None = None) -> tuple[understanding.Query, DataFrame]:
         """The understood query and its scored candidates, not yet ordered."""
@@ -158,7 +190,11 @@ class Engine:
             chosen = understanding.rewrites(q.text, rewrite)[: understanding.rewrite_limit(q.text)]
             if chosen:
                 found["rewrite"] = self.rewrite_recall(chosen)
-        return q, fusion.fuse(self.papers, found, q.text, q.include, q.exclude, q.year_from, q.year_to)
+        if self.posted is None:
+            return q, fusion.fuse(self.papers, found, q.text, q.include, q.exclude, q.year_from, q.year_to)
+        found = {s: self.local(df) for s, df in found.items()}
+        ids = sorted({r.id for df in found.values() for r in df.collect()})  # a few hundred, as local() gives
+        return q, fusion.fuse(self.papers.filter(F.col("id").isin(ids)), found, q.text, q.include, q.exclude, q.year_from, q.year_to, self.corpus.select("first_year", "last_year"))
 
     def search(self, text: str, limit: int = 20, year_from: int | None = None, year_to: int | None = None, sort: str = "best_match", vector: list[float] | None = None, today: date | None = None) -> DataFrame:
         """Ranked results. The cache's key holds everything that shapes the result, sort and limit included."""

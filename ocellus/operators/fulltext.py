@@ -20,6 +20,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6  # fixed values of the ranking function
 
 
 GAP = "  "
+COLUMN_SPAN = 1 << 32  # more tokens than a column holds
 
 
 def token_text(x: Column) -> Column:
@@ -46,9 +47,15 @@ def token_index(papers: DataFrame) -> DataFrame:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(token, id, tf, length): how often each token occurs in each paper; written in order of tokens, a query finds its own by file statistics."""
-    every = F.concat(*[token_array(c) for c in COLUMNS])
-    return index.select("id", "length", F.explode(every).alias("token")).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "length")
+    """(token, id, tf, length, at): how often and where each token occurs in each paper, a place being the column's number times COLUMN_SPAN plus the token's number in it, from 1;
+    written in order of tokens, a query finds its own by file statistics."""
+
+    def placed(n: int):
+        return lambda t, k: F.struct(t.alias("token"), (k + (n * COLUMN_SPAN + 1)).cast("bigint").alias("at"))
+
+    every = F.concat(*[F.transform(token_array(c), placed(n)) for n, c in enumerate(COLUMNS)])
+    flat = index.select("id", "length", F.explode(every).alias("x")).select("id", "length", "x.token", "x.at")
+    return flat.groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("at")).alias("at")).select("token", "id", "tf", "length", "at")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -295,20 +302,9 @@ def occurrences(p: Phrase) -> Column:
 
 
 def condition(node: Node, number: dict[int, str]) -> Column:
-    """Whether a paper matches; number: the column with each phrase's occurrences."""
-    if node.kind == "phrase":
+    """Whether a paper matches; number: the column with each phrase's occurrences, in NEAR those that are near."""
+    if node.kind in ("phrase", "near"):
         return F.col(number[id(node.parts[0])]) > 0
-    if node.kind == "near":
-        both = F.lit(False)
-        for c in COLUMNS:
-            if any(c not in p.columns for p in node.parts):
-                continue
-            pairs = F.lit(True)
-            for i, a in enumerate(node.parts):
-                for b in node.parts[i + 1 :]:
-                    pairs &= F.exists(places(a, c), near_some(a, b, c, node.distance))
-            both |= pairs
-        return both
     parts = [condition(p, number) for p in node.parts]
     if node.kind == "not":
         return parts[0] & ~parts[1]
@@ -327,29 +323,99 @@ def gates(node: Node, number: dict[int, str], gate: Column) -> dict[int, Column]
     return out
 
 
-def near_some(a: Phrase, b: Phrase, column: str, distance: int):
-    return lambda x: F.exists(places(b, column), close_to(x, a, b, distance))
+def near_nodes(node: Node) -> list[Node]:
+    return [node] if node.kind == "near" else [] if node.kind == "phrase" else [n for p in node.parts for n in near_nodes(p)]
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once per row: the generator keeps the optimizer from repeating them for every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(n) for n, x in columns.items()])))) if columns else df
+
+
+def with_near(df: DataFrame, node: Node, begins: dict[int, str]) -> tuple[DataFrame, dict[int, Column]]:
+    """For each phrase of a NEAR how many of its begins take part: all phrases begin at or before the last one of them, each with at most `distance` tokens
+    between its end and that begin. Begins of different columns are too far apart. begins: the column with each phrase's begins."""
+
+    def within(p: Phrase, reach: int, last: Column):
+        return lambda x: (x <= last) & (x >= last - (reach + len(p.words)))
+
+    def all_near(near: Node):
+        return lambda last: reduce(lambda a, b: a & b, [F.exists(F.col(begins[id(p)]), within(p, near.distance, last)) for p in near.parts])
+
+    def taking_part(p: Phrase, reach: int, lasts: str):
+        return lambda x: F.exists(F.col(lasts), lambda last: within(p, reach, last)(x))
+
+    nodes = near_nodes(node)
+    df = once(df, {f"__l{j}": F.filter(F.concat(*[F.col(begins[id(p)]) for p in near.parts]), all_near(near)) for j, near in enumerate(nodes)})
+    return df, {id(p): F.size(F.filter(F.col(begins[id(p)]), taking_part(p, near.distance, f"__l{j}"))) for j, near in enumerate(nodes) for p in near.parts}
+
+
+def scored(counted: DataFrame, stats: DataFrame, node: Node, number: dict[int, str]) -> DataFrame:
+    """(id, score) of the matches among (id, length, occurrences of each phrase); stats: one row with n, avgdl and each phrase's papers."""
+    matched = counted.filter(condition(node, number)).crossJoin(F.broadcast(stats))  # one row
+    open_ = gates(node, number, F.lit(True))
+    parts = [F.when(open_[k], idf(F.col("n"), F.col(f"{f}_df")) * bm25_part(F.col(f), F.col("length"), F.col("avgdl"))).otherwise(0.0) for k, f in number.items()]
+    return matched.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+
+
+def frequencies(number: dict[int, str]) -> list[Column]:
+    """The papers with each phrase, near the others of its NEAR or not."""
+    return [F.count_if(F.col(f"{f}_all") > 0).alias(f"{f}_df") for f in number.values()]
+
+
+def both_counts(number: dict[int, str], every: dict[int, Column], near: dict[int, Column]) -> dict[str, Column]:
+    return {f: near.get(k, every[k]) for k, f in number.items()} | {f"{f}_all": every[k] for k, f in number.items()}
 
 
-def close_to(x: Column, a: Phrase, b: Phrase, distance: int):
-    return lambda y: F.when(x <= y, y - x - len(a.words)).otherwise(x - y - len(b.words)) <= distance
+def shifted_by(n: int):
+    return lambda x: x.cast("bigint") + F.lit(n).cast("bigint")
 
 
 def bm25_raw(index: DataFrame, query: str) -> DataFrame:
-    """(id, score) of all papers that match the query, higher being better."""
+    """(id, score) of all papers that match the query, higher being better, by a scan of all token texts."""
     node = parse_match(query)
     if node is None:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     phrases = node.phrases()
     number = {id(p): f"__f{i}" for i, p in enumerate(phrases)}
-    counts = F.inline(F.array(F.struct(*[occurrences(p).alias(number[id(p)]) for p in phrases])))  # counted once, used in match, frequency and score
-    counted = index.select("*", counts)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("avgdl"), *[F.count_if(F.col(f) > 0).alias(f"{f}_df") for f in number.values()])
-    matched = counted.filter(condition(node, number)).crossJoin(F.broadcast(stats))  # one row
-    open_ = gates(node, number, F.lit(True))
-    parts = [F.when(open_[k], idf(F.col("n"), F.col(f"{f}_df")) * bm25_part(F.col(f), F.col("length"), F.col("avgdl"))).otherwise(0.0) for k, f in number.items()]
-    score = reduce(lambda a, b: a + b, parts)
-    return matched.select("id", score.alias("score"))
+    close = {id(p): (f"__b{j}_{i}", p) for j, near in enumerate(near_nodes(node)) for i, p in enumerate(near.parts)}
+    placed = once(index, {c: F.concat(*[F.transform(places(p, x), shifted_by(COLUMNS.index(x) * COLUMN_SPAN)) for x in p.columns]) for c, p in close.values()})
+    placed, taking = with_near(placed, node, {k: c for k, (c, _) in close.items()})
+    counted = once(placed, both_counts(number, {id(p): occurrences(p) for p in phrases}, taking))
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), (F.sum("length") / F.count(F.lit(1))).alias("avgdl"), *frequencies(number))
+    return scored(counted, stats, node, number)
+
+
+def bm25_posted(posted: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+    """bm25_raw() from a table of postings and one row of (n, avgdl): only the postings of the query's tokens are read, which the filter finds by file statistics, and
+    phrases, NEAR and columns are told by the places in them. Papers are told apart by id."""
+    node = parse_match(query)
+    if node is None:
+        return posted.select("id", F.lit(0.0).alias("score")).limit(0)
+    phrases = node.phrases()
+    number = {id(p): f"__f{i}" for i, p in enumerate(phrases)}
+    terms = {t: f"__t{i}" for i, t in enumerate(dict.fromkeys((w, p.prefix and k == len(p.words) - 1) for p in phrases for k, w in enumerate(p.words)))}
+    whole = [w for w, prefix in terms if not prefix]
+    wanted = reduce(lambda a, b: a | b, ([F.col("token").isin(whole)] if whole else []) + [F.col("token").startswith(w) for w, prefix in terms if prefix])
+    hit = {t: F.col("token").startswith(t[0]) if t[1] else F.col("token") == t[0] for t in terms}
+    per = posted.filter(wanted).groupBy("id").agg(F.max("length").alias("length"), *[F.flatten(F.collect_list(F.when(hit[t], F.col("at")))).alias(c) for t, c in terms.items()])
+
+    def begins(p: Phrase) -> Column:
+        out = None
+        for k, w in enumerate(p.words):
+            own = F.col(terms[w, p.prefix and k == len(p.words) - 1])
+            shifted = F.transform(own, shifted_by(-k)) if k else own
+            out = shifted if out is None else F.array_intersect(out, shifted)
+        if p.first:
+            out = F.filter(out, lambda x: x % COLUMN_SPAN == 1)
+        if len(p.columns) < len(COLUMNS):
+            out = F.filter(out, lambda x: F.floor(x / COLUMN_SPAN).isin([COLUMNS.index(c) for c in p.columns]))
+        return out
+
+    found = {id(p): f"__b{i}" for i, p in enumerate(phrases)}
+    placed, taking = with_near(once(per, {found[id(p)]: begins(p) for p in phrases}), node, found)
+    counted = once(placed, both_counts(number, {k: F.size(c) for k, c in found.items()}, taking))
+    return scored(counted, counted.agg(*frequencies(number)).crossJoin(F.broadcast(stats.select("n", "avgdl"))), node, number)
 
 
 def spread(scored: DataFrame) -> DataFrame:
@@ -359,10 +425,16 @@ def spread(scored: DataFrame) -> DataFrame:
     return scored.crossJoin(F.broadcast(ends)).select("id", value.alias("score"))
 
 
-def full_text(index: DataFrame, query: str, topn: int = 100) -> DataFrame:
+def best_of(matches: DataFrame, topn: int = 100) -> DataFrame:
     """(id, score in 0..1) of the best matches, best first by score and id."""
-    if not query.strip():
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
-    return spread(bm25_raw(index, query).orderBy(F.col("score").desc(), "id").limit(topn))
+    return spread(matches.orderBy(F.col("score").desc(), "id").limit(topn))
+
+
+def full_text(index: DataFrame, query: str, topn: int = 100) -> DataFrame:
+    """best_of() the query's matches by a scan."""
+    return best_of(bm25_raw(index, query), topn)
 
 
+def full_text_posted(posted: DataFrame, stats: DataFrame, query: str, topn: int = 100) -> DataFrame:
+    """best_of() the query's matches by postings."""
+    return best_of(bm25_posted(posted, stats, query), topn)

@@ -12,6 +12,7 @@ SOURCES = ("raw", "rewrite", "semantic", "author")
 # fixed values: the weights of the final score, and of raw and rewritten full text by the query's script
 SEMANTIC, AUTHOR, TITLE, KEYWORD, RECENCY, BONUS = 0.55, 0.60, 0.10, 0.05, 0.03, 0.04
 TEXT_WEIGHTS = {"mixed": (0.17, 0.15), "cjk": (0.12, 0.20), "latin": (0.24, 0.06)}
+MOST = 1000  # candidates of one retriever; each gives 100, two merged ones 200
 RECENT_POOL = 30  # fixed value: "most recent" reorders so many of the best
 FINAL_SHARE, JUDGE_SHARE = 0.75, 0.25  # fixed values: of the blend with an outside judge's scores
 
@@ -58,16 +59,16 @@ def in_years(year_from: int | None, year_to: int | None):
     return out
 
 
-def fuse(papers: DataFrame, found: dict[str, DataFrame], query: str, include: list[str] = (), exclude: list[str] = (), year_from: int | None = None, year_to: int | None = None, bounded: bool = True) -> DataFrame:
-    """One row per candidate that passes the filters, with its scores rounded to four decimals. bounded: the retrievers end in limits, so the candidates, a few
-    hundred, are broadcast to the papers."""
-    merged = candidates(found)
-    joined = papers.join(F.broadcast(merged) if bounded else merged, "id")
+def fuse(papers: DataFrame, found: dict[str, DataFrame], query: str, include: list[str] = (), exclude: list[str] = (), year_from: int | None = None, year_to: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """One row per candidate that passes the filters, with its scores rounded to four decimals. Of every retriever the best MOST count, so at most
+    MOST candidates of each are broadcast to the papers. bounds: year_bounds() of all papers where they are known already."""
+    merged = candidates({s: df.orderBy(F.col("score").desc(), "id").limit(MOST) for s, df in found.items()})
+    joined = papers.join(F.broadcast(merged), "id")
     if include:
         joined = joined.filter(names_any(list(include)))
     if exclude:
         joined = joined.filter(~names_any(list(exclude)))
-    joined = joined.filter(in_years(year_from, year_to)).crossJoin(F.broadcast(year_bounds(papers)))  # one row
+    joined = joined.filter(in_years(year_from, year_to)).crossJoin(F.broadcast(year_bounds(papers) if bounds is None else bounds))  # one row
     raw_weight, rewrite_weight = TEXT_WEIGHTS[script_of(query)]
     q = query.strip().lower()
     score = {s: F.coalesce(s, F.lit(0.0)) for s in SOURCES}
@@ -98,8 +99,8 @@ def fuse(papers: DataFrame, found: dict[str, DataFrame], query: str, include: li
 
 
 def blend(scored: DataFrame, judged: DataFrame) -> DataFrame:
-    """Blends the final score with a judge's (id, judge_score) where there is one."""
-    joined = scored.join(F.broadcast(judged.limit(1000)), "id", "left")
+    """Blends the final score with a judge's (id, judge_score) where there is one, however many there are."""
+    joined = scored.join(judged, "id", "left")
     mixed = round4(FINAL_SHARE * F.col("final_score") + JUDGE_SHARE * F.col("judge_score"))
     return joined.withColumn("final_score", F.when(F.col("judge_score").isNotNull(), mixed).otherwise(F.col("final_score"))).withColumn("judge_score", round4("judge_score"))
 

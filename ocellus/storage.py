@@ -26,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that a session writes for itself, shared by all executors."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns a frame that reads it; later stages survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

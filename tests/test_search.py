@@ -129,6 +129,20 @@ def test_cache_forgets():
     assert c.get(2) is None
 
 
+def test_a_prepared_engine_reads_only_the_postings_of_its_words(spark, table, tmp_path, capsys):
+    Engine.prepare(table, None, str(tmp_path))
+    with Engine.prepared(spark, str(tmp_path)) as engine:
+        engine.matches('"dry eye" OR glauc*').explain()
+    plan = capsys.readouterr().out
+    assert "In(token, [dry,eye])" in plan and "StringStartsWith(token,glauc)" in plan and "tokens.parquet" not in plan
+
+
+def test_a_judge_may_score_any_number(spark):
+    scored = spark.range(3000).selectExpr("id", "0.5 final_score", "2000 year")
+    judged = spark.range(2500).selectExpr("id", "1.0 judge_score")
+    assert fusion.blend(scored, judged).filter("final_score > 0.6").count() == 2500
+
+
 def test_a_prepared_engine_finds_the_same(spark, table, tmp_path):
     Engine.prepare(table, None, str(tmp_path))
     kept, written = Engine(table), Engine.prepared(spark, str(tmp_path))
