@@ -1,8 +1,8 @@
 """Most similar vectors by a block matrix join.
 
 The distinct vectors are dealt into groups of bounded size; every pair of groups is one task. There, tiles of int8
-codes are multiplied (each product an exact integer), and the quantisation errors of the two vectors bound how far the
-true cosine can lie from the product. Pairs that may reach the threshold, or a row's k best so far, are recomputed in
+codes are multiplied (each product an exact integer, scaled afterwards), and the quantisation errors of the two vectors bound how far the
+true cosine can lie from the scaled product. Pairs that may reach the threshold, or a row's k best so far, are recomputed in
 double precision from the original floats and kept in heaps of size k. Nothing is lost to the quantisation: results are those of brute force.
 
 Exact copies are one vector in the join: a group of copies costs as much as a single vector, and its members share one
@@ -92,7 +92,17 @@ class Best:
         return tuple(map(list, zip(*flat, strict=True))) if flat else ([], [], [])
 
 
-SLACK = 1e-6  # float32 products of scaled codes
+SLACK = 1e-6  # beyond seven roundings to float32 (scales, products with them, room, its sum, the least) of values up to 2, each by 2 ** -24 of it at most
+EXACT = 1024  # so many products of int8 codes add up to less than 2 ** 24, below which float32 holds every integer
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The integer products of all int8 rows of both sides, exact at any length: longer rows are added up in parts."""
+    out = None
+    for a in range(0, left.shape[1], EXACT):
+        part = left[:, a : a + EXACT].astype(np.float32) @ right[:, a : a + EXACT].astype(np.float32).T
+        out = part if out is None else np.add(out, part, dtype=np.float64)
+    return out
 
 
 def join_sides(left: Side, right: Side, k: int, least: float, same: bool) -> Iterator[tuple[list, list, list]]:
@@ -101,26 +111,26 @@ def join_sides(left: Side, right: Side, k: int, least: float, same: bool) -> Ite
     columns = rows if same else Best(len(right.ids), k, least)
     for b in range(0, len(right.ids), TILE):
         e = min(b + TILE, len(right.ids))
-        codes = right.code[b:e].astype(np.float32) * right.scale[b:e, None].astype(np.float32)
         far, near = right.error[b:e].max(), right.near[b:e].max()
+        across = right.scale[None, b:e].astype(np.float32)
         for a in range(0, e if same else len(left.ids), TILE):
             c = min(a + TILE, len(left.ids))
-            product = left.code[a:c].astype(np.float32) @ codes.T
+            value = products(left.code[a:c], right.code[b:e]).astype(np.float32)
+            value *= left.scale[a:c, None].astype(np.float32)
+            value *= across
             room = left.error[a:c] * near + far + SLACK
-            floor = np.minimum(rows.least[a:c], columns.least[b:e].min())
-            may = product >= ((floor - room) / left.scale[a:c])[:, None].astype(np.float32)
-            i, j = np.nonzero(may)
+            value += room[:, None].astype(np.float32)  # from here on the upper bound of the cosine
+            i, j = np.nonzero((value >= rows.least[a:c, None].astype(np.float32)) | (value >= columns.least[None, b:e].astype(np.float32)))
             if same and a + TILE > b:
                 keep = i + a < j + b
                 i, j = i[keep], j[keep]
             if len(i) > 16 * k * max(c - a, e - b):  # dense: a row's or column's k-th best lower bound rules out most
-                value = product * left.scale[a:c, None].astype(np.float32)
                 if same and a + TILE > b:
                     off = np.arange(a, c)[:, None] >= np.arange(b, e)[None, :]
                     value[off] = -2
-                low_row = np.partition(value, -k, axis=1)[:, -k] - room if value.shape[1] >= k else np.full(c - a, -2.0)
-                low_column = np.partition(value, -k, axis=0)[-k] - room.max() if value.shape[0] >= k else np.full(e - b, -2.0)
-                upper = value[i, j] + room[i]
+                low_row = np.partition(value, -k, axis=1)[:, -k] - 2 * room if value.shape[1] >= k else np.full(c - a, -2.0)
+                low_column = np.partition(value, -k, axis=0)[-k] - 2 * room.max() if value.shape[0] >= k else np.full(e - b, -2.0)
+                upper = value[i, j]
                 keep = (upper >= np.maximum(low_row, rows.least[a:c])[i]) | (upper >= np.maximum(low_column, columns.least[b:e])[j])
                 i, j = i[keep], j[keep]
             if not len(i):

@@ -13,7 +13,7 @@ from ocellus.llm.leximin import leximin
 from ocellus.llm.mixing import mixture, shares
 from ocellus.llm.mojibake import find_garbled
 from ocellus.llm.names import resolve, variant_pairs
-from ocellus.llm.neighbours import similar_pairs
+from ocellus.llm.neighbours import similar_papers, similar_pairs
 from ocellus.llm.sql import SQL  # noqa: F401
 from ocellus.sources.tables import table
 
@@ -44,6 +44,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pairs(spark, folder).select("paper_id_a", "paper_id_b")
 
 
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar papers of every paper, however far."""
+    return similar_papers(table(spark, folder, "paper_embeddings"), k=10)
+
+
 def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(field, record_id, text, label) of every text that came with a label row, and of every document."""
     labels = table(spark, folder, "text_labels").select("field", "record_id", F.col("lang_label").alias("label"))
@@ -118,6 +123,7 @@ QUERIES = {
     "p2_frequent": p2_frequent,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_languages": p5_languages,
     "p5_segments": p5_segments,

@@ -1,7 +1,7 @@
 
 import numpy as np
 
-from ocellus.llm.neighbours import Side, join_sides, similar_pairs, similar_papers
+from ocellus.llm.neighbours import Side, join_sides, products, similar_pairs, similar_papers
 
 SCHEMA = "paper_id bigint, provider string, model string, dimensions int, text_hash string, embedding_blob binary, updated_at timestamp_ntz, similarity string"
 
@@ -87,3 +87,16 @@ def test_last_update_counts_and_empty(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [(r.paper_id_a, r.paper_id_b) for r in similar_pairs(df, 0.9, model="m").collect()] == [(1, 2)]
     assert similar_papers(df.limit(0), model="m").collect() == []
+
+
+def test_products_of_codes_are_exact_integers():
+    r = np.random.default_rng(1)
+    for d in (1, 128, 1024, 1025, 5000):
+        a, b = (r.integers(-127, 128, (9, d)).astype(np.int8) for _ in range(2))
+        a[0], b[0] = 127, 127
+        assert (products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
+def test_long_vectors_lose_nothing(spark):
+    v, ids = clustered(120, 2500, 8), list(range(120))
+    assert lists(similar_papers(frame(spark, v, ids), model="m", k=4, group=50)) == brute(v, 4, -1, ids)
