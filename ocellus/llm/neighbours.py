@@ -43,11 +43,11 @@ def usable(df: DataFrame, provider: str, model: str) -> DataFrame:
 
 
 class Side:
-    """Vectors of a group with their int8 codes. A vector is scale * code + rest, with |rest| = error."""
+    """Vectors of a group with their int8 codes, and the least similarity that counts for each. A vector is scale * code + rest, with |rest| = error."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray):
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, least: np.ndarray | float):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.raw = ids[order], raw[order]
+        self.ids, self.raw, self.least = ids[order], raw[order], np.broadcast_to(np.asarray(least, np.float64), len(ids))[order]
         wide = self.raw.astype(np.float64)
         wide /= np.abs(wide).max(axis=1, keepdims=True)  # before squaring: tiny and huge vectors keep their direction
         self.length = np.sqrt((wide * wide).sum(axis=1))
@@ -72,9 +72,9 @@ class Side:
 class Best:
     """For each row a heap of its k best (similarity, -id)."""
 
-    def __init__(self, n: int, k: int, least: float):
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(n)]
-        self.k, self.least = k, np.full(n, least)
+    def __init__(self, k: int, least: np.ndarray):
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in least]
+        self.k, self.least = k, least.copy()
 
     def add(self, rows: np.ndarray, similarity: np.ndarray, ids: np.ndarray) -> None:
         k = self.k
@@ -105,10 +105,10 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def join_sides(left: Side, right: Side, k: int, least: float, same: bool) -> Iterator[tuple[list, list, list]]:
-    """(id, other id, cosine): the k best of each vector of one side among the other's, with a cosine of at least `least`."""
-    rows, columns = Best(len(left.ids), k, least), None
-    columns = rows if same else Best(len(right.ids), k, least)
+def join_sides(left: Side, right: Side, k: int, same: bool) -> Iterator[tuple[list, list, list]]:
+    """(id, other id, cosine): the k best of each vector of one side among the other's, with a cosine of at least the vector's least."""
+    rows = Best(k, left.least)
+    columns = rows if same else Best(k, right.least)
     for b in range(0, len(right.ids), TILE):
         e = min(b + TILE, len(right.ids))
         far, near = right.error[b:e].max(), right.near[b:e].max()
@@ -150,32 +150,41 @@ CELL = "dimensions int, id bigint, other bigint, similarity double"
 
 def nearest(vectors: DataFrame, k: int, least: float = -1.0, group: int = GROUP) -> DataFrame:
     """(dimensions, id, other, similarity): of each distinct vector the k most similar others with a cosine of at least `least`. vectors:
-    (dimensions, id, blob), each blob and id once. Equal similarities are taken by the smaller id."""
+    (dimensions, id, blob), each blob and id once. Equal similarities are taken by the smaller id.
+
+    Every group is joined with itself first. The k-th best that a vector has there is the least that counts for it in the pairs of groups, so these keep few candidates."""
     n = vectors.count()
     size = max(1024, min(group, n // 6))
     groups = max(1, -(-n // size))
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
-    placed = vectors.withColumn("own", own).withColumn("other_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cells = placed.withColumn("low", F.least("own", "other_group")).withColumn("high", F.greatest("own", "other_group")).drop("other_group")
+    placed = vectors.withColumn("own", own)
+    alone = placed.withColumn("low", F.col("own")).withColumn("high", F.col("own")).withColumn("least", F.lit(least))
 
     def cell(table: pa.Table) -> pa.Table:
         d = table.column("dimensions")[0].as_py()
-        at = table.column("own").to_numpy()
-        ids = table.column("id").to_numpy()
+        at, ids, floor = (table.column(c).to_numpy() for c in ("own", "id", "least"))
         raw = np.frombuffer(b"".join(table.column("blob").to_pylist()), "<f4").reshape(-1, d)
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        left = Side(ids[at == low], raw[at == low])
-        right = left if low == high else Side(ids[at == high], raw[at == high])
+        left = Side(ids[at == low], raw[at == low], floor[at == low])
+        right = left if low == high else Side(ids[at == high], raw[at == high], floor[at == high])
         out: tuple[list, list, list] = ([], [], [])
         if len(left.ids) and len(right.ids):
-            for part in join_sides(left, right, k, least, low == high):
+            for part in join_sides(left, right, k, low == high):
                 for have, more in zip(out, part, strict=True):
                     have.extend(more)
         return pa.table([pa.array([d] * len(out[0]), pa.int32()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["dimensions", "id", "other", "similarity"])
 
-    found = cells.groupBy("dimensions", "low", "high").applyInArrow(cell, CELL)
+    found = alone.groupBy("dimensions", "low", "high").applyInArrow(cell, CELL)
+    if groups == 1:
+        return found
+    found = cut_lineage(found)
+    reached = found.groupBy("dimensions", "id").agg(F.when(F.count(F.lit(1)) == k, F.min("similarity")).alias("reached"))
+    floors = placed.join(reached, ["dimensions", "id"], "left").withColumn("least", F.greatest(F.lit(least), "reached")).drop("reached")
+    spread = floors.withColumn("other_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).filter("own <> other_group")
+    cells = spread.withColumn("low", F.least("own", "other_group")).withColumn("high", F.greatest("own", "other_group")).drop("other_group")
+    every = found.unionByName(cells.groupBy("dimensions", "low", "high").applyInArrow(cell, CELL))
     order = Window.partitionBy("dimensions", "id").orderBy(F.col("similarity").desc(), "other")  # at most k rows from each cell of the vector
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+    return every.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
 def similar_papers(df: DataFrame, provider: str = "api", model: str = "eye-embed-2", k: int = 10, least: float = -1.0, group: int = GROUP) -> DataFrame:

@@ -53,8 +53,8 @@ def test_dense_clouds_keep_the_best():
     r = np.random.default_rng(4)
     v = (1 + 0.01 * r.normal(size=(700, 24))).astype("<f4")
     ids = np.arange(700)
-    side = Side(ids, v)
-    (a, b, _), *_ = join_sides(side, side, 3, 0.5, True)
+    side = Side(ids, v, 0.5)
+    (a, b, _), *_ = join_sides(side, side, 3, True)
     got = {}
     for x, y in zip(a, b):
         got.setdefault(x, set()).add(y)
