@@ -234,9 +234,15 @@ def posterior(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def sentence_ends(before: str, after: str) -> bool:
+    """Whether cut() begins a segment between two characters in any text."""
+    return before in "。！？；\n\r" or (before in ".!?;" and after in " \t\n\x0b\x0c\r\u3000")
+
+
 def segments_of(texts: list[str | None], query: np.ndarray, model: Model) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(segments, their length, language number, confidence, margin). Texts of over PIECE characters are taken in pieces cut after white space."""
-    whole = [[t or ""] if len(t or "") <= PIECE else pieces(t, PIECE, lambda a, b: a.isspace()) for t in texts]
+    """(segments, their length, language number, confidence, margin). Texts of over PIECE characters are taken in pieces, cut only where a
+    sentence ends, so the segments are those of the whole text."""
+    whole = [[t or ""] if len(t or "") <= PIECE else pieces(t, PIECE, sentence_ends) for t in texts]
     if len(texts) == 1 and len(whole[0]) > 1:
         parts, base = [], 0
         for x in whole[0]:
@@ -275,7 +281,7 @@ def languages_of(texts: list[str | None], query: np.ndarray, model: Model) -> li
         out[i] = [(LANGUAGES[m], float(top[i, m]))] + [(LANGUAGES[j], float(top[i, j])) for j in range(n) if j != m and clear[i, j]]
     rest = [i for i in np.unique(s.text[(s.words > 0) | (s.han > 0)]).tolist() if not out[i]]
     if rest:  # nothing that counts by itself: the text as a whole
-        parts = [(j, x) for j, i in enumerate(rest) for x in pieces(texts[i], PIECE, lambda a, b: a.isspace())]
+        parts = [(j, x) for j, i in enumerate(rest) for x in pieces(texts[i], PIECE, sentence_ends)]
         total = np.zeros((len(rest), n))
         for at in range(0, len(parts), 500):
             some = parts[at : at + 500]

@@ -90,3 +90,14 @@ def test_the_length_of_training_texts_is_a_parameter(spark, monkeypatch):
     monkeypatch.setattr(language, "training_rows", lambda *a: seen.append(own(*a)) or seen[-1])
     language.text_languages(spark.createDataFrame([("document", 1, "abc " * 50, "en")], "field string, record_id bigint, text string, label string"), longest=40)
     assert [len(r[0]) for r in seen[0]] == [40]
+
+
+def test_long_texts_have_the_segments_of_the_whole(model, monkeypatch):
+    r = random.Random(12)
+    long = " ".join(text(r, x, 3) for x in ("de", "en", "zh", "fr") * 12) + " a.b c\u3000d! e"
+    one = np.zeros(1, bool)
+    whole = language.segments_of([long], one, model)
+    monkeypatch.setattr(language, "PIECE", 90)
+    parts = language.segments_of([long], one, model)
+    assert (whole[0].offset == parts[0].offset).all() and all((a == b).all() for a, b in zip(whole[1:3], parts[1:3]))
+    assert np.allclose(whole[3], parts[3])
