@@ -11,8 +11,11 @@ Both numberings, of slots and of tokens in a source, are scans spread over many
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,12 +102,15 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     for n in slots_each:
         at += n / all_slots if all_slots else 0
         bounds.append(at)
-    point = F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0))
-    index = F.lit(len(quotas) - 1)
-    for i in range(len(quotas) - 2, -1, -1):
-        index = F.when(F.col("point") < bounds[i], F.lit(i)).otherwise(index)
+    edges = np.array(bounds[:-1])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            point = np.mod((batch.column(0).to_numpy() + 0.5) * GOLDEN, 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(edges, point, side="right").astype(np.int32))], names=["slot", "source_no"])
+
     meta = spark.createDataFrame([(i, q.source, -(-q.available // block_tokens), q.max_repeats) for i, q in enumerate(quotas)], "source_no int, source string, blocks bigint, max_repeats bigint")
-    slots = spark.range(n_slots).withColumn("point", point).select(F.col("id").alias("slot"), index.cast("int").alias("source_no"))
+    slots = spark.range(n_slots).mapInArrow(place, "slot bigint, source_no int")
     ranked = grouped_scan(slots, ["source_no"], [F.col("slot")], row="k").join(F.broadcast(meta), "source_no")
     plan = ranked.select("slot", "source", F.pmod(F.col("k") - 1, "blocks").alias("block"), (F.floor((F.col("k") - 1) / F.col("blocks")) + 1).cast("bigint").alias("repeat"), "max_repeats").filter("repeat <= max_repeats")
     blocks = shuffled.select("source", F.floor(F.col("__before") / block_tokens).cast("bigint").alias("block"), "doc_id", "n_tokens")

@@ -64,3 +64,11 @@ def test_empty(spark):
     targets = spark.createDataFrame([("c", 1.0, 1)], TARGETS)
     assert mixture(docs, targets).collect() == []
     assert mixture(docs.limit(0), targets.limit(0)).collect() == []
+
+
+def test_hundreds_of_sources(spark):
+    rows = [(i, f"s{i % 400}", "eye " * (1 + i % 7)) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([(f"s{i}", 1.0 / 400, 2) for i in range(400)], TARGETS)
+    got = shares(mixture(docs, targets, block_tokens=8, passes=1), targets).collect()
+    assert len(got) == 400 and all(r.n_documents > 0 and r.most_repeats <= 2 for r in got)
