@@ -30,7 +30,7 @@ def merge_pairs(*parts: DataFrame) -> DataFrame:
 
 def bucket_counts(deduplicated: DataFrame) -> DataFrame:
     """(bucket, level, day, event_type, n_visitors): exact counts within each bucket."""
-    at = deduplicated.repartition("bucket")  # every later step keeps to this partitioning
+    at = deduplicated.repartition("bucket", "visitor_id")  # the pairs of an identifier stay together, however many tasks there are; counts are added up before they leave a task
     level = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), (F.col("day") if "day" in x.split("_") else F.lit(None).cast("date")).alias("g_day"), (F.col("event_type") if "event_type" in x else F.lit(None).cast("string")).alias("g_type")) for x in LEVELS]))
     unique = at.select("bucket", "visitor_id", level.alias("x")).select("bucket", "visitor_id", "x.level", F.col("x.g_day").alias("day"), F.col("x.g_type").alias("event_type")).distinct()
     return unique.groupBy("bucket", "level", "day", "event_type").agg(F.count(F.lit(1)).alias("n_visitors"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ocellus.llm.bpe import encode_column
-from ocellus.llm.distinct import bucket_counts, distinct_visitors, pairs
+from ocellus.llm.distinct import add_buckets, bucket_counts, distinct_visitors, merge_pairs, pairs
 from ocellus.llm.frequent import frequent_values
 from ocellus.llm.language import affected, text_languages, text_segments
 from ocellus.llm.leximin import leximin
@@ -84,6 +84,15 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs(table(spark, folder, "analytics_events"))
 
 
+def p6_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of all days and types from partial results made apart: searches, clicks, all else, and once more everything with a visitor, which overlaps them."""
+    events = table(spark, folder, "analytics_events")
+    kinds = [F.col("event_type") == "search", F.col("event_type") == "paper_click"]
+    rest = ~(F.coalesce(kinds[0] | kinds[1], F.lit(False)))
+    parts = [pairs(events.filter(k)) for k in (*kinds, rest)]
+    return add_buckets(bucket_counts(merge_pairs(*parts, pairs(events))))
+
+
 def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return leximin(table(spark, folder, "paper_briefs")).select("search_event_id", "id", "rank")
 
@@ -130,6 +139,7 @@ QUERIES = {
     "p6_distinct_visitors": p6_distinct_visitors,
     "p6_partials": p6_partials,
     "p6_pairs": p6_pairs,
+    "p6_merged": p6_merged,
     "p7_found": p7_found,
     "p7_ranking": p7_ranking,
     "p8_ids": p8_ids,

@@ -30,6 +30,7 @@ SQL = {
     "p2_found": f"SELECT query_normalized FROM ({FREQUENT}) WHERE trim(query_normalized) <> ''",
     "p2_frequent": FREQUENT,
     "p6_distinct_visitors": DISTINCT,
+    "p6_merged": DISTINCT,
     "p7_found": RANKING + "SELECT search_event_id, id FROM r WHERE rank <= 3",
     "p7_ranking": RANKING + "SELECT search_event_id, id, rank FROM r",
 }
