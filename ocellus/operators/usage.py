@@ -96,16 +96,17 @@ def recent_searches(events: DataFrame, date_from: date | None = None, date_to: d
 
 
 def with_search_time(clicks: DataFrame, events: DataFrame) -> DataFrame:
-    """Clicks with the time of the event that their search_event_id names; null where no event has the id. Of an event that was delivered several times one row counts."""
-    times = events.select(F.col("id").alias("__id"), F.col("occurred_at").alias("searched_at")).groupBy("__id").agg(F.min("searched_at").alias("searched_at"))
+    """Clicks with the time of the event that their search_event_id names; null where no event has the id. Of an event that was delivered several times one row counts. Only events
+    that a click names are grouped."""
+    named = clicks.select(F.col("search_event_id").cast("bigint").alias("id")).distinct()
+    times = events.join(named, "id", "left_semi").select(F.col("id").alias("__id"), F.col("occurred_at").alias("searched_at")).groupBy("__id").agg(F.min("searched_at").alias("searched_at"))
     return clicks.join(times, clicks["search_event_id"] == times["__id"], "left").drop("__id")
 
 
 def recent_clicks(clicks: DataFrame, events: DataFrame, date_from: date | None = None, date_to: date | None = None, keyword: str | None = None, limit: int = 12) -> DataFrame:
     """The limit comes before the join: it can't change which clicks are the latest, and only their events are looked up."""
     latest = clicks_in(clicks, date_from, date_to, keyword).orderBy(F.col("clicked_at").desc(), F.col("id").desc()).limit(clamp(limit, 12, 1, 100))
-    own = F.broadcast(latest.select(F.col("search_event_id").alias("id")).distinct())  # at most 100 rows
-    joined = with_search_time(latest, events.join(own, "id", "left_semi"))
+    joined = with_search_time(latest, events)  # at most 100 clicks
     return joined.select("id", "clicked_at", "visitor_id", "paper_id", "paper_title", F.col("search_event_id").alias("related_search_event_id"), "query_raw", "query_normalized", "searched_at").orderBy(F.col("clicked_at").desc(), F.col("id").desc())
 
 

@@ -17,6 +17,7 @@ from ocellus.functions.text import author_key, highlight, matches, normalize_que
 from ocellus.operators import fulltext, fusion, retrieval
 from ocellus.sources import export
 from ocellus.sources import papers as source
+from ocellus.sources.stores import VectorStore
 from ocellus.sources.tables import table
 from ocellus.storage import shared_folder
 
@@ -243,6 +244,15 @@ def q_embedding_upsert(spark, folder):
     return source.upsert_embeddings(e, new).select("paper_id", "provider", "model", "dimensions", "text_hash")
 
 
+def q_embedding_store(spark, folder):
+    """The same upsert through stored vectors, written to the shared folder and read again."""
+    e = table(spark, folder, "paper_embeddings")
+    store = VectorStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", 16)
+    store.upsert(e)
+    store.upsert(e.filter("model = 'eye-embed-2'").withColumn("text_hash", F.lit("0" * 64)).withColumn("embedding_blob", F.lit(None).cast("binary")))
+    return store.read().select("paper_id", "provider", "model", "dimensions", "text_hash")
+
+
 def q_recency_score(spark, folder):
     t = typed(spark, folder)
     return t.crossJoin(F.broadcast(fusion.year_bounds(t))).select("id", round6(fusion.recency()).alias("recency_score"))
@@ -534,6 +544,7 @@ SQL = {
     "embedding_fresh_rows": with_papers(f", {HASHED} SELECT e.paper_id FROM (SELECT * FROM {STORED} AND octet_length(embedding_blob) = 512) e JOIN h ON e.paper_id = h.id AND e.text_hash = h.text_hash"),
     "embedding_pending": with_papers(f", {HASHED} SELECT id AS paper_id, text_hash FROM h WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {STORED}) e WHERE e.paper_id = h.id AND e.text_hash = h.text_hash)"),
     "embedding_upsert": "SELECT paper_id, provider, model, dimensions, CASE WHEN model = 'eye-embed-2' THEN repeat('0', 64) ELSE text_hash END AS text_hash FROM paper_embeddings",
+    "embedding_store": "SELECT paper_id, provider, model, dimensions, CASE WHEN model = 'eye-embed-2' THEN repeat('0', 64) ELSE text_hash END AS text_hash FROM paper_embeddings",
     "recency_score": with_papers(f", {BOUNDS} SELECT id, {r6(RECENCY)} AS recency_score FROM p, b"),
     "lexicon_expansion_join": f"WITH q AS (SELECT DISTINCT {collapse("lower(coalesce(query_raw, ''))")} AS query FROM analytics_events WHERE event_type = 'search'), l(term, expansion) AS (VALUES {LEXICON}) SELECT query, term, expansion FROM q JOIN l ON CASE WHEN regexp_matches(term, '^[a-z]{{1,4}}$') THEN regexp_matches(query, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') ELSE contains(query, term) END",
     "rank_fusion_best_match": FUSED + f"SELECT {COLUMNS} FROM fu ORDER BY {ORDER} LIMIT 50",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from ocellus.functions.text import beijing_time, normalize_query
 from ocellus.operators import ingest, usage
+from ocellus.sources.stores import EventLog
 from ocellus.sources.tables import table
+from ocellus.storage import shared_folder
 
 FROM, TO = date(2019, 3, 5), date(2019, 3, 12)
 
@@ -77,6 +80,15 @@ def q_unique_click_dedup(spark, folder):
     return ingest.unique_clicks(events(spark, folder)).select("id", "search_event_id", "visitor_id", "query_normalized", "paper_id", "clicked_at")
 
 
+def q_recorded_clicks(spark, folder):
+    """The unique clicks that an event log writes when it is given first all other events and then the clicks."""
+    log = EventLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    click = F.coalesce(F.col("event_type") == "paper_click", F.lit(False))
+    log.record_all(events(spark, folder).filter(~click))
+    log.record_all(events(spark, folder).filter(click))
+    return log.clicks.select("id", "search_event_id", "visitor_id", "query_normalized", "paper_id", "clicked_at")
+
+
 def q_insert_unique_clicks(spark, folder):
     stored = clicks(spark, folder)
     return ingest.insert_unique(stored.filter("clicked_at < timestamp_ntz'2019-03-12 00:00:00'"), stored).select("search_event_id", "paper_id", "clicked_at")
@@ -146,6 +158,7 @@ SQL = {
       string_agg({BEIJING.format(x='clicked_at')}, '; ' ORDER BY clicked_at, id) AS times FROM search_paper_unique_clicks GROUP BY 1) c ON c.sid = e.id""",
     "click_ranking": "SELECT query_normalized, paper_id, paper_title, count(*) AS unique_click_count, count(DISTINCT visitor_id) AS unique_visitors, min(clicked_at) AS first_clicked_at, max(clicked_at) AS last_clicked_at FROM search_paper_unique_clicks GROUP BY 1, 2, 3 ORDER BY 4 DESC, 7 DESC, 1 NULLS FIRST, 2, 3 NULLS FIRST LIMIT 100",
     "unique_click_dedup": CONTEXT + "SELECT id, search_event_id, visitor_id, query_normalized, paper_id, clicked_at FROM n QUALIFY row_number() OVER (PARTITION BY search_event_id, paper_id ORDER BY clicked_at, id) = 1",
+    "recorded_clicks": CONTEXT + "SELECT id, search_event_id, visitor_id, query_normalized, paper_id, clicked_at FROM n QUALIFY row_number() OVER (PARTITION BY search_event_id, paper_id ORDER BY clicked_at, id) = 1",
     "insert_unique_clicks": "SELECT search_event_id, paper_id, clicked_at FROM search_paper_unique_clicks WHERE clicked_at >= TIMESTAMP '2019-03-12'",
     "click_context_lookup": CONTEXT + "SELECT DISTINCT id, search_event_id, visitor_id, query_normalized FROM n",
     "search_event_lookup": "SELECT DISTINCT id, visitor_id, query_raw FROM analytics_events WHERE id = 21 AND event_type = 'search'",

@@ -61,14 +61,27 @@ def jdbc_address(place: str) -> tuple[str, dict[str, str]]:
     return f"jdbc:{kind}://{host}/{name}", {k: unquote(v) for k, v in (("user", user), ("password", password)) if v}
 
 
-def read_table(spark: SparkSession, name: str, place: str, columns: list[str] | None = None, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16) -> DataFrame:
-    """A table, only the named columns of it. A database is read by `partitions` tasks over ranges of a numeric column where one is given with its bounds."""
+# the numeric column by whose ranges a table of a database is read
+RANGES = {"papers": "paper_id", "paper_keywords": "paper_id", "paper_embeddings": "paper_id", "analytics_events": "id", "search_paper_unique_clicks": "id"}
+
+
+def read_table(spark: SparkSession, name: str, place: str, columns: list[str] | None = None, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int | None = None) -> DataFrame:
+    """A table, only the named columns of it. A database is read by `partitions` tasks, else as many as there are cores, over ranges of a numeric column: the one given, or the
+    table's of RANGES where it has that. Its bounds are asked of the database unless given; they only shape the ranges, no row is left out."""
     if backend(place) == "parquet":
         df = table(spark, place, name)
     else:
         url, options = jdbc_address(place)
-        reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
-        if partition_column and bounds:
-            reader = reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-        df = reader.load()
+        reader = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+        whole = reader().option("dbtable", name).load()
+        at = {c.lower(): c for c in whole.columns}
+        by = at.get((partition_column or RANGES.get(name, "")).lower())
+        if by and bounds is None:
+            quoted = f"`{by}`" if "mysql" in url or "mariadb" in url else f'"{by}"'
+            found = reader().option("query", f"select min({quoted}) as a, max({quoted}) as b from {name}").load().first()
+            bounds = None if found[0] is None else (int(found[0]), int(found[1]))
+        tasks = partitions or spark.sparkContext.defaultParallelism
+        df = whole
+        if by and bounds and bounds[0] < bounds[1] and tasks > 1:
+            df = reader().option("dbtable", name).option("partitionColumn", by).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", tasks).load()
     return df.select(*columns) if columns else df

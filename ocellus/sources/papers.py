@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ocellus.functions.text import blank_to_null, split_list, strip
@@ -111,12 +111,20 @@ def pending_embeddings(embeddings: DataFrame, typed: DataFrame, provider: str, m
     return now.join(own, ["paper_id", "text_hash"], "left_anti")
 
 
+KEY = ("paper_id", "provider", "model", "dimensions")
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """Of rows with one key the last updated, of those the one with the greatest hash and vector."""
+    rest = [c for c in rows.columns if c not in (*KEY, "updated_at")]
+    last = rows.groupBy(*KEY).agg(F.max(F.struct("updated_at", *rest)).alias("x"))
+    return last.select(*KEY, "x.*").select(*rows.columns)
+
+
 def upsert_embeddings(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """All rows of both; of rows with one (paper_id, provider, model, dimensions) that of `new`, else the last updated."""
-    key = ["paper_id", "provider", "model", "dimensions"]
-    order = Window.partitionBy(*key).orderBy(F.col("__new").desc(), F.col("updated_at").desc_nulls_last())
-    both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n", "__new")
+    """The stored rows that no row of `new` replaces, and the newest of `new`; stored rows are only looked up by their key (paper_id, provider, model, dimensions)."""
+    own = newest(new)
+    return existing.join(own.select(*KEY), list(KEY), "left_anti").select(*existing.columns).unionByName(own)
 
 
 def embed(pending: DataFrame, embedder, provider: str, model: str, dimensions: int, batch_size: int = 16) -> DataFrame:
