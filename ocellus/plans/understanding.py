@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Callable
@@ -34,7 +35,7 @@ INTENTS = (
     (20.0, "治疗|疗法|用药|management|treatment|therapy", "treatment|therapy|management|drug|medication"),
     (20.0, "诊断|筛查|检查|成像|oct|diagnos|screen|imaging", "diagnosis|diagnostic|screening|imaging|oct"),
 )
-FEW_HITS, LOW_SCORE, MAX_REWRITES = 8, 0.35, 2
+FEW_HITS, MAX_REWRITES = 8, 2
 
 
 @dataclass(frozen=True)
@@ -205,24 +206,33 @@ def is_english(text: str) -> bool:
     return bool(re.search("[A-Za-z]", text)) and not has_cjk(text)
 
 
+# fixed values: where candidates come from (the lexicon or parts of a suggestion), for queries of which scripts, and which of them
+OFFERS = (
+    ("en", {"han", "mixed"}, slice(None)),
+    ("lexicon", {"han", "mixed", "latin", "other"}, slice(2)),
+    ("en", {"latin", "other"}, slice(2)),
+    ("zh", {"latin", "mixed"}, slice(1)),
+    ("must", {"latin", "other"}, slice(1)),
+    ("zh", {"han", "mixed", "latin", "other"}, slice(1, 2)),
+)
+
+
+def script_of(text: str) -> str:
+    latin = bool(re.search("[A-Za-z]", text))
+    return ("mixed" if latin else "han") if has_cjk(text) else "latin" if latin else "other"
+
+
 def rewrites(raw: str, rewrite: Rewrite | None) -> list[str]:
-    """At most two rewritten queries; without suggestions from outside those of the lexicon. Chinese queries get their English form first."""
-    own = expansions(raw)
+    """At most MAX_REWRITES rewritten queries. Without a suggestion they are the lexicon's; with one the best of what OFFERS name for the query's script. Of a query with
+    Chinese the first English candidate leads, whatever its priority."""
+    origins = {"lexicon": expansions(raw)} | ({"en": rewrite.en, "zh": rewrite.zh, "must": rewrite.must} if rewrite else {})
     if rewrite is None:
-        return select(raw, own)
-    if has_cjk(raw):
-        direct = next((t for t in (clean_candidate(raw, c) for c in (*rewrite.en, *own)) if t and is_english(t)), None)
-        first = [direct] if direct else []
-        pool = [*rewrite.en, *own[:2]]
-    else:
-        first, pool = [], [*own[:2], *rewrite.en[:2]]
-    if re.search("[A-Za-z]", raw):
-        pool += rewrite.zh[:1]
-    if not has_cjk(raw):
-        pool += rewrite.must[:1]
-    pool += rewrite.zh[1:2]
-    taken = {t.lower() for t in first}
-    return first + select(raw, [c for c in pool if (c or "").strip().lower() not in taken], MAX_REWRITES - len(first))
+        return select(raw, origins["lexicon"])
+    script = script_of(raw)
+    offered = [c for origin, scripts, part in OFFERS if script in scripts for c in origins[origin][part]]
+    english = (clean_candidate(raw, c) for origin in ("en", "lexicon") for c in origins[origin])
+    lead = [c for c in itertools.islice(filter(is_english, english), 1) if script in ("han", "mixed")]
+    return lead + select(raw, [c for c in offered if str(c).strip().lower() not in map(str.lower, lead)], MAX_REWRITES - len(lead))
 
 
 def always_expands(text: str) -> bool:

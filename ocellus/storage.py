@@ -36,3 +36,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns a frame that reads it; later stages survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes the files of frames that cut_lineage() gave and that nothing needs any more, as a loop's earlier rounds. What a result still reads goes with the session's folder, or
+    with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.nodeName() == "LogicalRDD" or plan.getClass().getSimpleName() == "LogicalRDD":
+            at = plan.rdd().getCheckpointFile()
+            if at.isDefined():
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

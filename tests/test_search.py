@@ -95,6 +95,31 @@ def test_rewrites():
     assert u.json_object('so: {"a": 1} end') == {"a": 1} and u.json_object("none") is None
 
 
+SUGGESTED = u.Rewrite(zh=("干眼诊断", "干眼管理"), en=("tear film imaging", "meibography grading", "third form"), must=("eyelid",))
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("眼球震动", ["tear film imaging", "meibography grading"]),  # Chinese: the first English form leads, then the best of all English ones
+        ("眼球 AI 震动", ["tear film imaging", "meibography grading"]),
+        ("strabismus gene", ["meibography grading", "tear film imaging"]),  # English: by priority, of equal ones the earlier
+        ("2024", ["tear film imaging", "meibography grading"]),
+    ],
+)
+def test_rewrites_by_script(raw, want):
+    got = u.rewrites(raw, SUGGESTED)
+    assert len(got) == u.MAX_REWRITES and set(got) == set(want)
+    assert got[0] == "tear film imaging" or not u.has_cjk(raw)
+
+
+def test_what_each_script_is_offered():
+    only = lambda **o: u.rewrites("qqq zzz", u.Rewrite(**o))
+    assert only(zh=("眼前节成像", "眼后节成像", "第三个形式")) == ["眼前节成像", "眼后节成像"] and only(must=("first word", "second word")) == ["first word"]
+    assert u.rewrites("震动", u.Rewrite(must=("first word",))) == [] and u.rewrites("震动", u.Rewrite(zh=("眼前节成像", "眼后节成像"))) == ["眼后节成像"]
+    assert [u.script_of(x) for x in ("OCT 检查", "检查", "oct", "12")] == ["mixed", "han", "latin", "other"]
+
+
 def test_a_failing_service_goes_off():
     calls = []
 
