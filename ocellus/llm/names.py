@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ocellus.storage import cut_lineage
+from ocellus.storage import cut_lineage, release
 
 # fixed values: characters of names in traditional or variant form, each followed by the simplified one
 VARIANTS = (
@@ -321,7 +321,8 @@ def resolve(df: DataFrame, column: str = "authors_display", rounds: int | None =
         moved = entity.join(hop, "e", "left").select("id", F.coalesce("n", "e").alias("e"), "weak", "han", "middle", F.col("n").isNotNull().alias("moved"))
         # the merged profile: what its members have
         merged = moved.groupBy("e").agg(F.min("weak").alias("weak"), union_of("han"), union_of("middle"), F.max("moved").alias("changed"))
-        entity = cut_lineage(moved.select("id", "e").join(merged, "e").select("id", "e", "weak", "han", "middle", "changed"))
+        before, entity = entity, cut_lineage(moved.select("id", "e").join(merged, "e").select("id", "e", "weak", "han", "middle", "changed"))
+        release(before, least)
     return numbered.join(entity.select("id", F.col("e").alias("entity")), "id").select("name", "entity")
 
 
