@@ -112,7 +112,14 @@ def promising(most: np.ndarray, grams: np.ndarray, side: np.ndarray, owner: np.n
     """(bigrams, their side, owner and size of each piece): the pieces between two zeros of the best sums of the greatest gains in which these reach the owner's least. What
     reaches it with lesser gains does so within such a piece."""
     begin = np.cumsum(size) - size
-    gain = most[side, grams]
+    gain = most.ravel().take(grams + (side << BITS))
+    enough = np.add.reduceat(np.maximum(gain, 0), begin) >= least[owner]  # no stretch has more than all gains above 0
+    if not enough.all():
+        inside = np.repeat(enough, size)
+        grams, side, gain, owner, size = grams[inside], side[inside], gain[inside], owner[enough], size[enough]
+        begin = np.cumsum(size) - size
+        if not len(owner):
+            return grams, side, owner, size
     best = running(gain, begin)
     fresh = best <= gain
     fresh[begin] = True
@@ -166,6 +173,14 @@ class Model:
         logs[:, ASCII_ONLY] = 0
         return Model(logs, known)
 
+    @functools.cached_property
+    def known_points(self) -> np.ndarray:
+        """Whether each code point is ASCII or known."""
+        out = np.zeros(0x110000, bool)
+        out[:128] = True
+        out[[ord(c) for c in self.known]] = True
+        return out
+
     @functools.cached_property
     def sound(self) -> np.ndarray:
         """The log-probability of each bigram in clean words without CJK characters, and in those with: these hold words of other scripts as well."""
@@ -413,10 +428,12 @@ def census(texts: list[str | None], model: Model, counts: np.ndarray) -> Counter
     buckets = np.fromiter(map(word_bucket, numbers_), np.int64, len(numbers_))
     once = np.unique(owner * len(numbers_) + at) % len(numbers_)
     np.add.at(counts, buckets[once], 1)
-    odd = {w: unknown(w.decode(), model) for w in numbers_}
-    odd = {w: x for w, x in odd.items() if x}
-    if not odd:
+    points = np.frombuffer(b"\n".join(numbers_).decode().encode("utf-32-le"), np.uint32)
+    new = np.flatnonzero(~model.known_points[points])
+    if not len(new):
         return seen
+    own_words, which = list(numbers_), np.searchsorted(np.flatnonzero(points == 10), new)
+    odd = {own_words[j]: unknown(own_words[j].decode(), model) for j in np.unique(which).tolist()}
     bad = {w for w, v in judged(list(odd), model).items() if v.garbled}
     by_text: dict[int, list[bytes]] = {}
     for w, i in zip(own, owner.tolist(), strict=True):
