@@ -84,7 +84,10 @@ def parse(text: str) -> Name:
         out.surname_first = m.start() == 0 and len(m.group(0)) < len(x)
         x = x.replace(m.group(0), " ")
     parts = [w for w in re.split(r"[\s,]+", x) if w]
-    parts = [w for w in parts if fold(w).strip(".") not in TITLES]
+    untitled = [w for w in parts if fold(w).strip(".") not in TITLES]
+    if len(untitled) == 1 and len(parts) == 2 and not out.han and re.fullmatch("[A-Z]{2}", parts[1]):
+        untitled = parts  # a surname alone has no title: these are initials
+    parts = untitled
     for w in parts:
         letters = re.sub(r"[^\w-]", "", w).replace("_", "")
         dotted = re.fullmatch(r"(?:[^\W\d_]\.-?)+", w)
