@@ -28,6 +28,7 @@ VARIANTS = (
     "蘭兰顏颜淸清寧宁謙谦澤泽嵐岚駿骏賡赓傑杰華华國国張张陳陈劉刘趙赵黃黄吳吴孫孙馬马許许鄭郑謝谢馮冯蕭萧鄧邓葉叶閻阎譚谭鄒邹陸陆範范龔龚顧顾賴赖龍龙萬万錢钱湯汤喬乔賀贺莊庄嚴严龐庞紀纪項项陽阳魯鲁韋韦兪俞鮑鲍饒饶龜龟麥麦愛爱寶宝賓宾長长潔洁東东"
     "鳳凤剛刚廣广貴贵漢汉鴻鸿輝辉錦锦靜静軍军凱凯恆恒樂乐麗丽連连蓮莲靈灵鈴铃倫伦羅罗夢梦銘铭鳴鸣慶庆瓊琼榮荣潤润聖圣詩诗書书樹树順顺濤涛韜韬維维衛卫聞闻曉晓賢贤興兴勳勋雲云遠远澐沄禎祯貞贞楨桢鎮镇錚铮鐘钟鍾钟眞真瑩莹穎颖淵渊億亿藝艺義义優优語语"
     "園园悅悦筆笔銳锐葦苇偉伟煒炜緯纬"
+    "峯峰勗勖愷恺遊游澂澄竇窦鈺钰駱骆栢柏淩凌蘇苏關关韓韩飛飞鵬鹏"
 )
 SIMPLE = {ord(a): b for a, b in zip(VARIANTS[::2], VARIANTS[1::2], strict=True)}
 # fixed values: nicknames, each followed by the formal names it may stand for

@@ -59,6 +59,7 @@ def test_parsing():
     assert parse("NI Daixu").tokens == ["ni", "daixu"] and parse("Gong YK").initials == "yk" and parse("卓 沛笙").han == "卓沛笙"
     assert parse("Tao DR").initials == "dr" and parse("Dr Tao").initials == "" and parse("Li Tao MD").tokens == ["li", "tao"]
     assert parse("Study Group of the Sortar Cataract Survey").tokens == ["sortar", "cataract", "survey"] and parse("").tokens == []
+    assert parse("Hengfeng Yi(易衡峯)").han == parse("易衡峰").han and parse("勗").han == "勖"
     assert splits("shayun", SYLLABLES) == [["sha", "yun"]] and splits("kaaize", SYLLABLES) == [] and ["xian"] in splits("xian", SYLLABLES)
 
 
