@@ -15,7 +15,7 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,11 +47,16 @@ HAN = r"㐀-鿿"
 SHORT_SURNAMES = set("xu li ni fu lu ye gu he ji si yi ma wu yu hu du ge ke mo qi su xi bi an ai bo".split())  # fixed values: two letters, so capitals may be one of these or initials
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; ae, oe and ue before a consonant as the plain vowel."""
+def plain(text: str) -> str:
+    """Lower case without accents."""
     x = text.lower().replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ß", "ss").replace("ł", "l").replace("đ", "d")
-    x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    return re.sub(r"(?<=[a-z])([aou])e(?=[bcdfghjklmnpqrstvwxz])", r"\1", x)
+    return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+
+def fold(text: str) -> str:
+    """plain() with ae, oe and ue before a consonant as the plain vowel, unless the word is made of romanised Chinese syllables."""
+    x = plain(text)
+    return x if splits(x.replace("-", ""), SYLLABLES, 3) else re.sub(r"(?<=[a-z])([aou])e(?=[bcdfghjklmnpqrstvwxz])", r"\1", x)
 
 
 @dataclass
@@ -59,6 +64,7 @@ class Name:
     kind: str = "person"
     han: str = ""
     tokens: list[str] = field(default_factory=list)  # folded; hyphened or loose syllables in parts
+    plain: list[str] = field(default_factory=list)  # the same without folding ae, oe and ue, which a typing error may have made
     upper: list[bool] = field(default_factory=list)
     initials: str = ""
     surname_first: bool = False
@@ -98,6 +104,7 @@ def parse(text: str) -> Name:
             out.initials += re.sub(r"[^a-z]", "", fold(w))
         elif letters:
             out.tokens.append(fold(letters))
+            out.plain.append(plain(letters))
             out.upper.append(letters.isupper())
     return out
 
@@ -211,7 +218,8 @@ def features(name: str, lex: Lexicon) -> tuple[bool, str, str, list[Feature]]:
         if (surname in lex.surnames and readings(given, lex.syllables, n.han)) or (given in lex.common and surname in lex.common):
             valid = True
     nick = False
-    for given, surname in pairs:
+    unfolded = pairs_of(replace(n, tokens=n.plain))
+    for (given, surname), spelt in zip(pairs, unfolded, strict=True):
         if not given:
             out.append(("full", surname, "", True, ""))
             continue
@@ -234,8 +242,8 @@ def features(name: str, lex: Lexicon) -> tuple[bool, str, str, list[Feature]]:
             out.append(("initials", f"{surname} {given[0]}", "", True, ""))
             if middle:
                 out.append(("initials", f"{surname} {given[0]}{middle}", "", True, ""))
-        for x, y in ((given, surname), (surname, given)):
-            out += [("typo", f"{y} {d}", x, valid, f"{x} {y}") for d in deletions(x)]
+        for x, y, own in ((given, surname, spelt[0]), (surname, given, spelt[1])):
+            out += [("typo", f"{y} {d}", z, valid, f"{z} {y}") for z in dict.fromkeys((x, own)) for d in deletions(z)]
     return (not valid) or nick, n.han, middle, list(dict.fromkeys(out))
 
 
