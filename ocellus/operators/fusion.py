@@ -59,11 +59,13 @@ def in_years(year_from: int | None, year_to: int | None):
     return out
 
 
-def fuse(papers: DataFrame, found: dict[str, DataFrame], query: str, include: list[str] = (), exclude: list[str] = (), year_from: int | None = None, year_to: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
-    """One row per candidate that passes the filters, with its scores rounded to four decimals. Of every retriever the best MOST count, so at most
-    MOST candidates of each are broadcast to the papers. bounds: year_bounds() of all papers where they are known already."""
-    merged = candidates({s: df.orderBy(F.col("score").desc(), "id").limit(MOST) for s, df in found.items()})
-    joined = papers.join(F.broadcast(merged), "id")
+def fuse(papers: DataFrame, found: dict[str, DataFrame], query: str, include: list[str] = (), exclude: list[str] = (), year_from: int | None = None, year_to: int | None = None, bounds: DataFrame | None = None, most: int | None = MOST) -> DataFrame:
+    """One row per candidate that passes the filters, with its scores rounded to four decimals. Of every retriever the best `most` count, so that few are
+    broadcast to the papers; with None all do, by an ordinary join. bounds: year_bounds() of all papers where they are known already."""
+    if most is None:
+        joined = papers.join(candidates(found), "id")
+    else:
+        joined = papers.join(F.broadcast(candidates({s: df.orderBy(F.col("score").desc(), "id").limit(most) for s, df in found.items()})), "id")
     if include:
         joined = joined.filter(names_any(list(include)))
     if exclude:

@@ -74,6 +74,12 @@ def test_fusion_by_hand(spark):
     assert fusion.script_of("OCT 检查") == "mixed" and fusion.script_of("检查") == "cjk"
 
 
+def test_fusion_of_more_candidates_than_are_broadcast(spark):
+    p = spark.range(3000).selectExpr("id", "'t' title", "array('a') authors", "array('k') keywords", "'' abstract", "2000 year", "cast(null as string) citation")
+    raw = spark.range(3000).selectExpr("id", "1.0 score")
+    assert fusion.fuse(p, {"raw": raw}, "q").count() == fusion.MOST and fusion.fuse(p, {"raw": raw}, "q", most=None).count() == 3000
+
+
 def test_parsing():
     known = {"王海燕", "李伟", "smith"}.__contains__
     q = u.parse("近五年 dry eye 的研究", known, today=TODAY)
