@@ -30,6 +30,7 @@ from ocellus.llm.sampling import hash_sample
 BITS = 16
 WORD_BITS = 20  # of the hashed counts of words
 LOST_CLASS = len(CHAINS)  # the class after the chains: words with lost characters
+PORTION = 2_000_000
 PRIOR = 6.0  # nats: log-odds against a given word being garbled, one word in 400
 STRONGEST, REPEATED = 7.0, 12  # nats that counts of words may add or take, and the length in bytes from which it is less in proportion: longer words seldom repeat and tell more themselves
 CERTAIN = 40.0  # what a word that no chain restores must reach beyond PRIOR: five bigrams at the limit of 8 nats each that a single one may give
@@ -194,7 +195,12 @@ class Model:
     def judge(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scores, least, room): for each word and class the best sum of log-likelihood ratios against clean words that a stretch of its bigrams has, 0 where it
         can't come near what it must reach. That is `least`: the prior and the logarithm of the number of stretches among which the best was chosen; `room` is what
-        counts may add to it."""
+        counts may add to it. Words are taken in portions of some PORTION bytes."""
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // PORTION
+        if ends[-1] and len(own) > 1 and ends[0] != ends[-1]:
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(own)]
+            parts = [self.judge(own[a:b]) for a, b in itertools.pairwise(cuts)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         grams, begin = bigrams(own)
         lengths = np.diff(np.r_[begin, len(grams)])
         least = PRIOR + np.log(lengths * (lengths + 1) / 2)

@@ -157,3 +157,17 @@ def test_counts_of_words_decide_what_the_score_leaves_open(model):
     assert not repair([word], Model(model.logs, model.known, counts))[0][0]
     counts[mojibake.word_bucket("après".encode())] = 4_000_000
     assert repair([word], Model(model.logs, model.known | {"è"}, counts))[0][4] == "après"
+
+
+def test_portions_give_the_same(model, monkeypatch):
+    own = list(dict.fromkeys(w for _, t in corpus(8, 200) for w in mojibake.words([t, garble(t, (("utf-8", "cp1252"),))])[0]))
+    whole = model.judge(own)
+    for size in (1, 50, 4000):
+        monkeypatch.setattr(mojibake, "PORTION", size)
+        assert all(np.allclose(a, b) for a, b in zip(whole, model.judge(own)))
+
+
+def test_a_very_long_text(model):
+    long = "检查发现中心凹附近厚度为" * 40_000
+    rows = repair([long, long + " fÃ¼r " + long, "é" * 300_000], model)
+    assert [x[0] for x in rows][:2] == [False, True] and rows[1][4] == long + " für " + long
