@@ -23,8 +23,9 @@ def percentiles(long: DataFrame, group: str) -> DataFrame:
     return grouped_scan(counted, [group, "score"], [F.col("value")], value="equal", row="at", before="below")
 
 
-def leximin(df: DataFrame, group: str = "search_event_id", item: str = "id", scores: tuple[str, ...] = SCORES) -> DataFrame:
-    """(group, item, rank, support): the rank from 1 in each group, and the ascending percentiles that decide it.
+def leximin(df: DataFrame, group: str = "search_event_id", item: str = "id", scores: tuple[str, ...] = SCORES, support: bool = True) -> DataFrame:
+    """(group, item, rank, support): the rank from 1 in each group, and the ascending percentiles that decide it. Without support these are left out, and the places
+    of scores in their group are compared as they are, which gives the same order: every percentile of a group is a place divided by the group's size.
 
     A null or NaN score gives no support: percentile 0. Rows without group or item are left out; a repeated (group, item) counts once, with the
     greatest of each score. Equal vectors are ranked by item. An empty table gives no rows; further columns are ignored."""
@@ -35,6 +36,9 @@ def leximin(df: DataFrame, group: str = "search_event_id", item: str = "id", sco
     places = percentiles(long.filter("value is not null"), "g").withColumnRenamed("value", "v")
     scored = long.join(places, (long["g"] == places["g"]) & (long["score"] == places["score"]) & (long["value"] == places["v"]), "left").select(long["g"], long["i"], long["score"], F.coalesce(F.col("below") + (F.col("equal") + 1) / 2, F.lit(0.0)).alias("p"))
     vectors = scored.groupBy("g", "i").agg(F.sort_array(F.collect_list("p")).alias("p"))  # as many numbers as there are scores
+    if not support:
+        ranked = grouped_scan(vectors, ["g"], [F.col("p").desc(), F.col("i")], row="rank")
+        return ranked.select(F.col("g").alias(group), F.col("i").alias(item), "rank")
     relative = vectors.join(sizes, "g").select("g", "i", F.transform("p", lambda p: p / F.col("size")).alias("support"))
     ranked = grouped_scan(relative, ["g"], [F.col("support").desc(), F.col("i")], row="rank")
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), "rank", "support")

@@ -94,11 +94,11 @@ def p6_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return leximin(table(spark, folder, "paper_briefs")).select("search_event_id", "id", "rank")
+    return leximin(table(spark, folder, "paper_briefs"), support=False).select("search_event_id", "id", "rank")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leximin(table(spark, folder, "paper_briefs")).filter("rank <= 3").select("search_event_id", "id")
+    return leximin(table(spark, folder, "paper_briefs"), support=False).filter("rank <= 3").select("search_event_id", "id")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

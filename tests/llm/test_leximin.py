@@ -37,6 +37,8 @@ def test_against_brute_force(spark):
     value = lambda: r.choice([None, float("nan"), 0.0, 1.0, r.random(), r.random() * 1e6, -r.random()])
     rows = [(r.choice([1, 1, 1, 2, 3, None]), r.choice([None, r.randrange(200)]), value(), value(), value(), value(), "x") for _ in range(500)]
     assert run(spark, rows) == brute(rows)
+    plain = leximin(spark.createDataFrame(rows, SCHEMA), support=False)
+    assert plain.columns == ["search_event_id", "id", "rank"] and {(r.search_event_id, r.id): r["rank"] for r in plain.collect()} == brute(rows)
 
 
 def test_a_strong_score_masks_no_weak_one(spark):
