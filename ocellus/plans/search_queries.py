@@ -15,6 +15,7 @@ from ocellus.engine import Engine, Settings
 from ocellus.functions.lexicon import TERMS, expand_queries
 from ocellus.functions.text import author_key, highlight, matches, normalize_query, snippet
 from ocellus.operators import fulltext, fusion, retrieval
+from ocellus.plans import understanding
 from ocellus.sources import export
 from ocellus.sources import papers as source
 from ocellus.sources.stores import VectorStore
@@ -314,8 +315,11 @@ def q_fusion_vector_years(spark, folder):
 
 
 def q_fusion_author_included(spark, folder):
-    """An author asked for in English, who is searched for and filtered by."""
-    return all_shown(prepared(spark, folder).ranked("dry eye by Yan Gong")[1])
+    """An author who is searched for and filtered by, whether the corpus has them or not."""
+    engine = prepared(spark, folder)
+    forms = understanding.rewrites(QUERY, None)[: understanding.rewrite_limit(QUERY)]
+    found = {"raw": engine.raw_recall(QUERY), "rewrite": engine.rewrite_recall(forms), "author": retrieval.by_authors(engine.papers, AUTHOR)}
+    return all_shown(fusion.fuse(engine.papers, found, QUERY, include=["Yan Gong"]))
 
 
 def q_fusion_author_excluded(spark, folder):
